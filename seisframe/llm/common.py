@@ -81,7 +81,7 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_CHARS) -> Itera
             yield ids.slice(at, len(out)).to_pylist(), out
 
 
-def map_blocks(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_blocks(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_CHARS) -> DataFrame:
     """Apply ``fn(ids, texts) -> columns`` block by block, through Arrow."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -89,7 +89,7 @@ def map_blocks(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: s
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
+        for ids, texts in blocks(batches, limit):
             out = fn(ids, texts)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
