@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, piece_bpe, vocabulary
+from . import exact_dedup, language_id, piece_bpe, quality, vocabulary
 from .common import table
 
 
@@ -18,10 +18,20 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), vocabulary.path(vocabulary.PIECES))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), vocabulary.path(vocabulary.PIECES))
+
+
+def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_extendible_hash_dedup": op5_extendible_hash_dedup,
         "op7_piece_bpe": op7_piece_bpe,
+        "op9_language_id": op9_language_id,
+        "op10_quality_ftrl": op10_quality_ftrl,
     }
 
 
