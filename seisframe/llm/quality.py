@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents of each class that training reads (expected number), passes over them, and hash bits.
-SAMPLE, PASSES, BITS = 3000, 2, 18
+#: Labelled documents of each class that training reads (expected number), and hash bits.
+SAMPLE, BITS = 3000, 18
+#: Training goes over its sample until it has made so many updates, at least twice and at most MOST times.
+UPDATES, MOST = 24_000, 24
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 1e-4
 #: predicted is 1 from here on
 THRESHOLD = 0.7
@@ -93,7 +95,7 @@ class Model:
     bits: int
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, passes: int = PASSES, bits: int = BITS, seed: int = 10) -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE, updates: int = UPDATES, bits: int = BITS, seed: int = 10) -> Model:
     """Learn from rows (doc_id, text, label 0 or 1); null labels are left out, null texts are empty."""
     rows = labelled.where(F.col("label").isin(0, 1))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
@@ -114,7 +116,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, passes: int = PASSES, bits:
                 label = label.as_py()
                 learner.learn(index, values, label, weight[label])
                 seen.append((index.astype(np.int32), values.astype(np.float32), label))
-        for _ in range(passes - 1):
+        for _ in range(min(MOST, max(2, updates // max(1, len(seen)))) - 1):
             for index, values, label in seen:
                 learner.learn(index, values.astype(np.float64), label, weight[label])
         yield pa.RecordBatch.from_arrays([pa.array([learner.weights().astype(np.float32).tobytes()], type=pa.binary())], names=["weights"])
