@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, piece_bpe, quality, vocabulary
+from . import exact_dedup, language_id, packing, piece_bpe, quality, vocabulary
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op5_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), vocabulary.path(vocabulary.PIECES))
 
@@ -29,6 +33,7 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_extendible_hash_dedup": op5_extendible_hash_dedup,
+        "op6_nnls_packing": op6_nnls_packing,
         "op7_piece_bpe": op7_piece_bpe,
         "op9_language_id": op9_language_id,
         "op10_quality_ftrl": op10_quality_ftrl,
