@@ -121,7 +121,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, updates: int = UPDATES, bit
                 learner.learn(index, values.astype(np.float64), label, weight[label])
         yield pa.RecordBatch.from_arrays([pa.array([learner.weights().astype(np.float32).tobytes()], type=pa.binary())], names=["weights"])
 
-    got = chosen.coalesce(1).sortWithinPartitions("draw", "doc_id").select("text", "label").mapInArrow(run, "weights binary").collect()  # the weights
+    got = chosen.repartition(1).sortWithinPartitions("draw", "doc_id").select("text", "label").mapInArrow(run, "weights binary").collect()  # the weights
     return Model(np.frombuffer(got[0][0], dtype=np.float32), bits)
 
 
