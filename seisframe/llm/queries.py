@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, piece_bpe, quality, vocabulary
+from . import exact_dedup, language_id, packing, piece_bpe, quality, vocabulary, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op5_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_warc_dictionary": op4_warc_dictionary,
         "op5_extendible_hash_dedup": op5_extendible_hash_dedup,
         "op6_nnls_packing": op6_nnls_packing,
         "op7_piece_bpe": op7_piece_bpe,
@@ -42,5 +47,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc_dictionary": warc.ORACLE,
         "op5_extendible_hash_dedup": exact_dedup.ORACLE,
     }
