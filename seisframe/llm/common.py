@@ -94,3 +94,22 @@ def map_blocks(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: s
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+class WordHashes(dict):
+    """UTF-8 word -> 64-bit hash. It forgets what it has seen at ``LIMIT`` words, which bounds memory only."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def size_of(df: DataFrame) -> int:
+    """Spark's estimate of a relation's bytes; exact file sizes for a table just written."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

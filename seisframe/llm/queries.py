@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, piece_bpe, quality, vocabulary, warc
+from . import exact_dedup, hyperminhash, language_id, packing, piece_bpe, quality, vocabulary, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), vocabulary.path(vocabulary.PIECES))
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.components(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), vocabulary.path(vocabulary.PIECES))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_extendible_hash_dedup": op5_extendible_hash_dedup,
         "op6_nnls_packing": op6_nnls_packing,
         "op7_piece_bpe": op7_piece_bpe,
+        "op8_hyperminhash": op8_hyperminhash,
         "op9_language_id": op9_language_id,
         "op10_quality_ftrl": op10_quality_ftrl,
     }
