@@ -95,15 +95,19 @@ class Model:
     bits: int
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, updates: int = UPDATES, bits: int = BITS, seed: int = 10) -> Model:
-    """Learn from rows (doc_id, text, label 0 or 1); null labels are left out, null texts are empty."""
-    rows = labelled.where(F.col("label").isin(0, 1))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, updates: int = UPDATES, bits: int = BITS, seed: int = 10) -> Model:
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); other labels are left out, null texts are empty.
+
+    The sample is drawn from the labels, so only its texts leave the scan.
+    """
+    rows = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
     if not sizes:
         return Model(np.zeros((1 << bits) + 8, dtype=np.float32), bits)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
     rate = F.when(F.col("label") == 1, min(1.0, sample / sizes.get(1, sample))).otherwise(min(1.0, sample / sizes.get(0, sample)))
-    chosen = rows.where(draw < rate * (1 << 30)).select(draw.alias("draw"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    drawn = F.broadcast(rows.where(draw < rate * (1 << 30)).withColumn("draw", draw))  # about 2 * sample rows
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
     have = {k: min(n, sample) for k, n in sizes.items()}
     # rows of a class stand for as many as it has: scores follow the labels' own balance
     weight = {k: n / have[k] * sum(have.values()) / sum(sizes.values()) for k, n in sizes.items()}
@@ -145,7 +149,7 @@ def held_out() -> F.Column:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels of rows that are not held out; score all: doc_id, held_out, score, predicted."""
     known = labels.where(F.coalesce(~held_out(), F.lit(False)) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
-    model = train(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = train(docs, known)
     return score(docs, model).select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
