@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hyperminhash, language_id, packing, piece_bpe, quality, vocabulary, warc
+from . import exact_dedup, hyperminhash, language_id, packing, pii, piece_bpe, quality, vocabulary, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op5_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii_boosting": op3_pii_boosting,
         "op4_warc_dictionary": op4_warc_dictionary,
         "op5_extendible_hash_dedup": op5_extendible_hash_dedup,
         "op6_nnls_packing": op6_nnls_packing,
