@@ -245,3 +245,17 @@ def identify(docs: DataFrame, pieces_file: str) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out; predict all: doc_id, held_out, lang_pred, score."""
     model = train(docs.where(F.coalesce(~held_out(), F.lit(False))).select("doc_id", "text", "lang"), pieces_file)
     return predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, pieces_file: str, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that are ``und`` or whose language has a score below ``least``, with all columns."""
+    model = train(docs.where(F.coalesce(~held_out(), F.lit(False))).select("doc_id", "text", "lang"), pieces_file)
+    own: list[Scorer] = []
+
+    def test(texts: list[str]) -> list[bool]:
+        if not own:
+            own.append(Scorer(model))
+        langs, scores = own[0].predict(texts)
+        return [lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores, strict=True)]
+
+    return common.keep_rows(docs, test)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hyperminhash, language_id, packing, pii, piece_bpe, quality, vocabulary, warc
+from . import exact_dedup, hyperminhash, language_id, packing, pii, piece_bpe, quality, substring_dedup, vocabulary, warc
 from .common import table
 
 
@@ -14,6 +15,10 @@ def op5_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -42,8 +47,13 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fm_substring_dedup": op2_fm_substring_dedup,
         "op3_pii_boosting": op3_pii_boosting,
         "op4_warc_dictionary": op4_warc_dictionary,
         "op5_extendible_hash_dedup": op5_extendible_hash_dedup,
@@ -52,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperminhash": op8_hyperminhash,
         "op9_language_id": op9_language_id,
         "op10_quality_ftrl": op10_quality_ftrl,
+        "pipeline": pipeline,
     }
 
 
