@@ -96,6 +96,19 @@ def map_blocks(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: s
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, test: Callable[[list[str]], list[bool]], text_col: str = "text", rows: int = 512) -> DataFrame:
+    """The rows of ``docs`` whose texts (null: empty) pass the test, with all columns; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                yield part.filter(pa.array(test([t or "" for t in part.column(at).to_pylist()]), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class WordHashes(dict):
     """UTF-8 word -> 64-bit hash. It forgets what it has seen at ``LIMIT`` words, which bounds memory only."""
 
@@ -113,3 +126,42 @@ class WordHashes(dict):
 def size_of(df: DataFrame) -> int:
     """Spark's estimate of a relation's bytes; exact file sizes for a table just written."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], dict], schema: str, order: str = "id") -> DataFrame:
+    """Apply ``fn(columns) -> columns`` to the rows of each key, ordered; groups must be small enough for a task."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow, names = to_arrow_schema(_parse_datatype_string(schema)), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {n: [] for n in names}
+        key, out, rows = None, {f.name: [] for f in arrow}, 0
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+        def close() -> int:
+            made = fn(held)
+            for f in arrow:
+                out[f.name] += made[f.name]
+            return len(made[arrow[0].name])
+
+        for batch in batches:
+            columns = {n: c.to_pylist() for n, c in zip(names, batch.columns, strict=True)}
+            for i, own in enumerate(zip(*(columns[k] for k in keys), strict=True)):
+                if own != key and key is not None:
+                    rows += close()
+                    held = {n: [] for n in names}
+                    if rows >= 10_000:
+                        yield result()
+                        out, rows = {f.name: [] for f in arrow}, 0
+                key = own
+                for n in names:
+                    held[n].append(columns[n][i])
+        if key is not None:
+            close()
+        yield result()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

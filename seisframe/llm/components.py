@@ -11,8 +11,10 @@ from . import common
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) for every id of the edges (a, b); component is the smallest id reachable.
 
-    Each round takes the smallest label among the neighbours and then that
-    label's own label, so long chains halve; rounds end when no label changes.
+    In each round a vertex offers the smallest label among its neighbours to
+    itself and to its present label's vertex, and then takes over the label of
+    its label, so trees hook together and flatten at once and long chains take
+    few rounds. Rounds end when no label changes.
     Labels are written to the shared folder after each round. Edges with a
     null end are ignored.
     """
@@ -22,9 +24,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     labels = common.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), name)
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = labels.join(near, "id").withColumn("low", F.least("label", "near"))
+        offers = F.array(F.struct("id", "low", F.col("label").alias("old")), F.struct(F.col("label").alias("id"), "low", F.lit(None).cast("long").alias("old")))
+        hooked = lower.select(F.explode(offers).alias("o")).groupBy("o.id").agg(F.min("o.low").alias("label"), F.max("o.old").alias("old"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = lower.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
+        new = hooked.join(jump, "label").select("id", "old", F.least("label", "further").alias("label"))
         new = common.staged(new, name)
         changed = not new.where("label <> old").isEmpty()
         labels = new.select("id", "label")

@@ -2,10 +2,11 @@
 
 A document's set of word shingles is hashed into buckets; a bucket's register
 keeps the smallest hash as its leading-zero count and the mantissa bits after
-the first one. Bands of registers are compared by equality: documents that
-share a band fall into one candidate cluster. Inside a cluster, pairs are
-estimated from registers (corrected for chance collisions) and confirmed on
-their full sets, until everything is either connected or refuted.
+the first one. Documents that agree in a band of registers meet; their Jaccard
+similarity is estimated from the registers, corrected for chance collisions,
+and documents that no estimate tells apart form candidate clusters. Inside a
+cluster, pairs are confirmed on their full sets, until everything is either
+connected or refuted.
 
 Only one document of each distinct set takes part. A cluster of more than
 ``BLOCK`` documents is dealt over tasks in blocks: links inside blocks first,
@@ -18,17 +19,21 @@ while copies that hang together are never compared pair by pair.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
 
-#: Registers are BANDS x ROWS; 26 mantissa bits and 6 bits for leading zeros.
-BANDS, ROWS, MANTISSA = 36, 7, 26
-REGISTERS = BANDS * ROWS
+#: Bands, and their registers from a similarity of 0.85 on and below; 26 mantissa bits and 6 bits for leading zeros.
+#: A pair at the threshold meets in no band with a chance of (1 - s**rows)**BANDS: 1e-6 at 0.85, 2e-5 at 0.8.
+BANDS, ROWS, FEWER, MANTISSA = 36, 7, 6, 26
 EMPTY = np.uint32(0xFFFFFFFF)
+#: What travels with documents that meet: every other register, with SHORT mantissa bits.
+SHORT = 10
+SHORT_EMPTY = np.uint16(0xFFFF)
+#: Documents that meet in one band and are estimated pair by pair; more are taken as one candidate cluster.
+MEETING = 1024
 #: Documents of one block, and central members that stand for each of a block's largest components.
 BLOCK, HUBS, LARGEST = 512, 8, 3
 #: An estimate below the threshold by so many standard errors refutes a pair.
@@ -43,56 +48,104 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str, hashes: common.WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of fewer words the whole sequence is one."""
-    words = text.encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
-    width = min(size, n)
-    out = np.full(n - width + 1, width * int(_C) & _MASK, dtype=np.uint64)
+def _one(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` word hashes."""
+    count = len(h) - width + 1
+    out = np.full(count, width * int(_C) & _MASK, dtype=np.uint64)
     for k in range(width):
-        out = (out ^ mix(h[k : n - width + 1 + k] + np.uint64(k * int(_A) & _MASK))) * _B
+        out = (out ^ mix(h[k : count + k] + np.uint64(k * int(_A) & _MASK))) * _B
         out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Packed registers of a sorted set of hashes."""
-    registers = np.full(REGISTERS, EMPTY)
-    if not len(hashes):
+    return mix(out)
+
+
+def shingles(texts: list[str], hashes: common.WordHashes, size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles; of fewer words the whole sequence is one."""
+    words: list[bytes] = []
+    ends = [0]
+    for text in texts:
+        words += text.encode().lower().split()
+        ends.append(len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    del words
+    runs = _one(h, size) if len(h) >= size else None
+    out = []
+    for a, b in zip(ends, ends[1:]):
+        if b - a >= size:
+            out.append(np.unique(runs[a : b - size + 1]))
+        else:
+            out.append(_one(h[a:b], b - a) if b > a else np.empty(0, dtype=np.uint64))
+    return out
+
+
+def rows_for(percent: int) -> int:
+    return ROWS if percent >= 85 else FEWER
+
+
+def sketches(sets: list[np.ndarray], rows: int = ROWS) -> np.ndarray:
+    """Packed registers (a row for each set) of sorted sets of hashes."""
+    size = BANDS * rows
+    registers = np.full((len(sets), size), EMPTY)
+    if not sets:
         return registers
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    value = hashes[first] * np.uint64(REGISTERS)  # the place inside the bucket, as a fraction of 2**64
+    flat = np.concatenate(sets)
+    bucket = (((flat >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+    bucket += np.repeat(np.arange(len(sets)) * size, [len(s) for s in sets])
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))  # the smallest hash of each bucket of each set
+    value = flat[first] * np.uint64(size)  # its place inside the bucket, as a fraction of 2**64
     zeros = np.where(value > 0, 64 - np.frexp(value.astype(np.float64))[1], 63).clip(0, 62).astype(np.uint64)
     mantissa = (value << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    registers[bucket[first].astype(np.int64)] = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint32)
+    registers.ravel()[bucket[first]] = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint32)
     return registers
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band that has a register."""
-    rows = registers.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _A
-    for k in range(ROWS):
-        key = mix((key ^ rows[:, k].astype(np.uint64)) * _B)
-    return key[(rows != EMPTY).any(axis=1)].view(np.int64)
+def band_keys(registers: np.ndarray) -> list[np.ndarray]:
+    """For each sketch, a 64-bit key of each band that has a register."""
+    rows = registers.reshape(len(registers), BANDS, -1)
+    key = np.tile(np.array([b * int(_A) & _MASK for b in range(1, BANDS + 1)], dtype=np.uint64), (len(rows), 1))
+    for k in range(rows.shape[2]):
+        key = mix((key ^ rows[:, :, k].astype(np.uint64)) * _B)
+    used = (rows != EMPTY).any(axis=2)
+    return [k[u] for k, u in zip(key.view(np.int64), used, strict=True)]
+
 
+def shortened(registers: np.ndarray) -> np.ndarray:
+    """Every other register with fewer mantissa bits: 6 + SHORT bits each."""
+    half = registers[:, ::2]
+    return np.where(half == EMPTY, SHORT_EMPTY, (half >> np.uint32(MANTISSA - SHORT)).astype(np.uint16))
 
-def chance_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+
+def chance_collisions(n: np.ndarray, m: np.ndarray, registers: int, mantissa: int) -> np.ndarray:
     """Expected equal registers of two disjoint sets of n and m elements (the HyperMinHash paper's approximation)."""
     ratio = np.maximum(n, m) / np.maximum(1, np.minimum(n, m))
-    return 0.1699 * REGISTERS * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    return 0.1699 * registers * 2.0**-mantissa * 4 * ratio / (1 + ratio) ** 2
 
 
-def estimate(one: np.ndarray, n: np.ndarray, other: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+def estimate(one: np.ndarray, n: np.ndarray, other: np.ndarray, m: int, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
     """(Jaccard estimates, their standard errors at most) of sketches ``one`` (rows) with the sketch ``other``."""
-    full = (one != EMPTY) | (other != EMPTY)
+    nothing = EMPTY if mantissa == MANTISSA else SHORT_EMPTY
+    full = (one != nothing) | (other != nothing)
     both = full.sum(axis=1)
     equal = ((one == other) & full).sum(axis=1)
-    return (equal - chance_collisions(n, np.full(len(n), m))) / np.maximum(both, 1), 0.5 / np.sqrt(np.maximum(both, 1))
+    chance = chance_collisions(n, np.full(len(n), m), one.shape[1], mantissa)
+    return (equal - chance) / np.maximum(both, 1), 0.5 / np.sqrt(np.maximum(both, 1))
+
+
+def likely(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
+    """(others, estimates) that neither the sizes nor the estimates refute as partners of i."""
+    low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+    others = others[(100 * low >= percent * high) & (low > 0)]
+    if not len(others):
+        return others, np.empty(0)
+    j, error = estimate(sketch[others], n[others], sketch[i], int(n[i]), mantissa)
+    good = j >= percent / 100 - ERRORS * error
+    return others[good], j[good]
+
+
+def root_of(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
 
 
 class Linker:
@@ -100,16 +153,13 @@ class Linker:
 
     def __init__(self, ids: list[int], texts: list[str], size: int, percent: int, hashes: common.WordHashes):
         self.ids, self.percent = ids, percent
-        self.sets = [shingles(t or "", hashes, size) for t in texts]
+        self.sets = shingles([t or "" for t in texts], hashes, size)
         self.n = np.array([len(s) for s in self.sets])
-        self.sketches = np.array([sketch(s) for s in self.sets]).reshape(len(ids), REGISTERS)
+        self.sketches = sketches(self.sets, rows_for(percent))
         self.parent = list(range(len(ids)))
 
     def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+        return root_of(self.parent, i)
 
     def union(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
@@ -122,14 +172,9 @@ class Linker:
         return 100 * common_ >= self.percent * (self.n[i] + self.n[j] - common_) > 0
 
     def candidates(self, i: int, others: np.ndarray) -> list[tuple[float, int]]:
-        """(estimate, other) of those that sizes and estimates don't refute."""
-        low, high = np.minimum(self.n[others], self.n[i]), np.maximum(self.n[others], self.n[i])
-        others = others[(100 * low >= self.percent * high) & (low > 0)]
-        if not len(others):
-            return []
-        j, error = estimate(self.sketches[others], self.n[others], self.sketches[i], int(self.n[i]))
-        good = j >= self.percent / 100 - ERRORS * error
-        return list(zip(j[good].tolist(), others[good].tolist(), strict=True))
+        """(estimate, other) of the likely partners."""
+        others, j = likely(self.sketches, self.n, i, others, self.percent)
+        return list(zip(j.tolist(), others.tolist(), strict=True))
 
     def connect(self) -> np.ndarray:
         """Connect all linked pairs; returns how many likely partners each document has."""
@@ -158,23 +203,23 @@ class Linker:
         return out
 
 
-def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands): s1 and s2 identify the set."""
+def features(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2, bands, sketch): s1 and s2 identify the set."""
     own: list[common.WordHashes] = []
 
     def run(ids: list, texts: list[str]) -> dict:
         if not own:
             own.append(common.WordHashes())
-        out: dict[str, list] = {"doc_id": ids, "n_shingles": [], "s1": [], "s2": [], "bands": []}
-        for text in texts:
-            h = shingles(text, own[0], size)
-            out["n_shingles"].append(len(h))
-            out["s1"].append(int(mix(h * _A).sum().view(np.int64)) if len(h) else 0)
-            out["s2"].append(int(mix(h ^ _C).sum().view(np.int64)) if len(h) else 0)
-            out["bands"].append(band_keys(sketch(h)) if len(h) else [])
-        return out
+        sets = shingles(texts, own[0], size)
+        n = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        at = np.concatenate([[0], np.cumsum(n)])
+        sums = [np.concatenate([[0], np.cumsum(mix(flat * _A))]).astype(np.uint64), np.concatenate([[0], np.cumsum(mix(flat ^ _C))]).astype(np.uint64)]
+        s1, s2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
+        registers = sketches(sets, rows_for(percent))
+        return {"doc_id": ids, "n_shingles": n, "s1": s1, "s2": s2, "bands": band_keys(registers), "sketch": [r.tobytes() for r in shortened(registers)]}
 
-    return common.map_blocks(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>", id_col, text_col)
+    return common.map_blocks(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary", id_col, text_col)
 
 
 def _blocked(members: DataFrame, sizes: DataFrame, block: int, seed: int) -> DataFrame:
@@ -186,23 +231,45 @@ def _blocked(members: DataFrame, sizes: DataFrame, block: int, seed: int) -> Dat
 def _link_blocks(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """In each (cluster, block): (cluster, block, blocks, id, root, hub, text); hub marks central members of the largest components."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        own = Linker(group["id"].tolist(), group["text"].tolist(), size, percent, common.WordHashes())
+    def run(group: dict[str, list]) -> dict:
+        ids = group["id"]
+        own = Linker(ids, group["text"], size, percent, hashes)
         degree = own.connect()
-        roots = [own.root(i) for i in range(len(group))]
-        several = int(group["blocks"].iloc[0]) > 1
-        hub = np.zeros(len(group), dtype=bool)
+        roots = [own.root(i) for i in range(len(ids))]
+        several = group["blocks"][0] > 1
+        hub = [False] * len(ids)
         if several:
-            counts = pd.Series(roots).value_counts(sort=False)
-            for r in sorted(counts.index, key=lambda x: (-counts[x], x))[:LARGEST]:
-                inside = [i for i, x in enumerate(roots) if x == r]
-                hub[sorted(inside, key=lambda i: (-degree[i], own.ids[i]))[:HUBS]] = True
-        return pd.DataFrame(
-            {"cluster": group["cluster"], "block": group["block"], "blocks": group["blocks"], "id": group["id"], "root": [own.ids[r] for r in roots], "hub": hub, "text": group["text"] if several else None}
-        )
+            inside: dict[int, list[int]] = {}
+            for i, r in enumerate(roots):
+                inside.setdefault(r, []).append(i)
+            for r in sorted(inside, key=lambda x: (-len(inside[x]), x))[:LARGEST]:
+                for i in sorted(inside[r], key=lambda i: (-degree[i], ids[i]))[:HUBS]:
+                    hub[i] = True
+        return group | {"root": [ids[r] for r in roots], "hub": hub, "text": group["text"] if several else [None] * len(ids)}
+
+    hashes = common.WordHashes()
+    return common.map_groups(rows.select("cluster", "block", "blocks", "id", "text"), ["cluster", "block"], run, "cluster long, block int, blocks int, id long, root long, hub boolean, text string")
+
+
+def _meet(met: DataFrame, percent: int) -> DataFrame:
+    """Of the rows (band, id, n_shingles, sketch) of each band: edges (a, b) that span all pairs no estimate refutes."""
+
+    def run(group: dict[str, list]) -> dict:
+        ids = group["id"]
+        n = np.array(group["n_shingles"])
+        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint16).reshape(len(ids), -1)
+        parent, out = list(range(len(ids))), {"a": [], "b": []}
+        rest = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            for other in likely(sketch, n, i, rest[i + 1 :], percent, SHORT)[0].tolist():
+                a, b = root_of(parent, i), root_of(parent, other)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out["a"].append(ids[i])
+                    out["b"].append(ids[other])
+        return out
 
-    return rows.groupBy("cluster", "block").applyInPandas(run, "cluster long, block int, blocks int, id long, root long, hub boolean, text string")
+    return common.map_groups(met, ["band"], run, "a long, b long")
 
 
 def _outside(members: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
@@ -218,14 +285,14 @@ def _outside(members: DataFrame, labels: DataFrame, size: int, percent: int) ->
     names = ["cluster", "block", "part", "id", "label", "text"]
     dealt = queries.select(*names, F.lit(True).alias("query")).union(stock.select(*names, F.lit(False)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["query", "id"])
-        own = Linker(group["id"].tolist(), group["text"].tolist(), size, percent, common.WordHashes())
-        asked = np.flatnonzero(group["query"].to_numpy()).tolist()
-        found = own.meet(asked, np.flatnonzero(~group["query"].to_numpy()), group["label"].tolist())
-        return pd.DataFrame(found, columns=["a", "b"])
+    def run(group: dict[str, list]) -> dict:
+        own = Linker(group["id"], group["text"], size, percent, hashes)
+        asked = np.array(group["query"])
+        found = own.meet(np.flatnonzero(asked).tolist(), np.flatnonzero(~asked), group["label"])
+        return {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
-    return dealt.groupBy("cluster", "block", "part").applyInPandas(run, "a long, b long")
+    hashes = common.WordHashes()
+    return common.map_groups(dealt, ["cluster", "block", "part"], run, "a long, b long")
 
 
 def components(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -239,13 +306,19 @@ def components(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     Columns besides id and text are not read.
     """
     named = docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text_col).alias("text"))
-    found = common.staged(features(named, size, "doc_id", "text"), "sketches")
+    found = common.staged(features(named, size, percent, "doc_id", "text"), "sketches")
     sets = ["n_shingles", "s1", "s2"]
     firsts = common.staged(found.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("id")), "sets")
-    banded = found.select(F.col("doc_id").alias("id"), *sets, "bands").join(firsts, ["id", *sets], "left_semi").select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
-    stars = banded.join(shared, "band").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    members = connected_components(stars, "clusters").withColumnRenamed("component", "cluster")
+    first = found.withColumnRenamed("doc_id", "id").join(firsts, ["id", *sets], "left_semi")
+    banded = first.select("id", F.explode("bands").alias("band"))
+    # bands in which the same documents meet count once
+    met = banded.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.sum(F.xxhash64("id").bitwiseAND((1 << 40) - 1)).alias("who")).where("n > 1")
+    met = common.staged(met.groupBy("n", "first", "last", "who").agg(F.min("band").alias("band")).select("band", "first", "n"), "bands")
+    rows = common.staged(banded.join(met, "band").select("band", "id", "first", "n"), "meetings")
+    stars = rows.where((F.col("n") > MEETING) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    small = rows.where(F.col("n") <= MEETING).select("band", "id").join(found.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id").select("band", "id", "n_shingles", "sketch")
+    candidates = common.staged(_meet(small, percent).union(stars).distinct(), "candidates")
+    members = connected_components(candidates, "clusters").withColumnRenamed("component", "cluster")
     sizes = common.staged(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
     texts = named.select(F.col("doc_id").alias("id"), "text")
     dealt = _blocked(members, sizes, block, 1).join(texts, "id")
