@@ -75,12 +75,12 @@ def field(headers: np.ndarray, loc: int, code: int) -> np.ndarray:
 def put_field(headers: np.ndarray, loc: int, code: int, values) -> None:
     """Write values into header bytes in place; integers keep their low bits."""
     kind = np.dtype(spec.NUMPY[code])
-    values = np.asarray(values)
+    values = np.atleast_1d(np.asarray(values))  # numpy scalars have no byte order
     if kind.kind in "iu":
         values = (np.trunc(values).astype(np.int64) & ((1 << (8 * kind.itemsize)) - 1 if kind.itemsize < 8 else -1)).astype(f">u{kind.itemsize}" if kind.itemsize < 8 else kind)
     else:
         values = values.astype(kind)
-    headers[:, loc - 1 : loc - 1 + kind.itemsize] = np.broadcast_to(values, len(headers)).copy().view(np.uint8).reshape(len(headers), -1)
+    headers[:, loc - 1 : loc - 1 + kind.itemsize] = np.ascontiguousarray(np.broadcast_to(values, len(headers))).view(np.uint8).reshape(len(headers), -1)
 
 
 def decode_text(raw: bytes, coding: str | None = None) -> list[str]:

@@ -134,3 +134,25 @@ def tofile(traces: DataFrame, path: str, nt: int, geo: Geometry | None = None, t
     for k, v in {"ni": ni, "nx": nx, "nt": nt, "path": path}.items():
         out = out.option(k, str(v))
     out.save()
+
+
+def write_traces(rows: DataFrame, path: str, nt: int, trace_count: int, dt: int = 2000, code: int = 5, sorting: int = 4, lines: list[str] | None = None, start_time: int = 0, scalar: int = 1) -> None:
+    """A file of any traces: (trace_idx, iline, xline, offset, x_coord, y_coord, samples), numbered from 0 without gaps."""
+    head = np.frombuffer(hd.binary_header(hd.NewSurvey(1, max(1, trace_count), nt, dt, code, start_time)), dtype=np.uint8)[None].copy()
+    codec.put_field(head, 29, 2, sorting)
+    text = codec.encode_text(lines or [f"C{k:02d}" for k in range(1, spec.ROWS + 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy().astype(np.int64) for i in range(6)]
+            heads = hd.trace_headers(hd.NewSurvey(1, 1, nt, dt, code, start_time), cols[0] * 0, cols[0] * 0)
+            codec.put_field(heads, spec.SCALAR, 2, scalar)
+            for locs, values in (((5, 9, 189), cols[1]), ((17, 21, 193), cols[2]), ((37,), cols[3]), ((73, 181), cols[4]), ((77, 185), cols[5])):
+                for loc in locs:
+                    codec.put_field(heads, loc, 4, values)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in heads], type=pa.binary()), b.column(6)], names=["trace_idx", "raw_header", "samples"])
+
+    made = rows.select(F.col("trace_idx").cast("long"), *(F.col(c).cast("int") for c in ("iline", "xline", "offset", "x_coord", "y_coord")), F.col("samples").cast("array<float>"))
+    _write(made.mapInArrow(run, "trace_idx bigint, raw_header binary, samples array<float>"), path, text + head.tobytes(), nt, code, trace_count)
