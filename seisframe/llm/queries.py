@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hyperminhash, language_id, packing, pii, piece_bpe, quality, substring_dedup, vocabulary, warc
+from . import audio, exact_dedup, hyperminhash, language_id, packing, pii, piece_bpe, quality, substring_dedup, vocabulary, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op5_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def op1_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: each vector of ``embeddings`` is played as a recording (``audio.play``)."""
+    return audio.align(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.play)
+
+
 def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chroma_fingerprint": op1_chroma_fingerprint,
         "op2_fm_substring_dedup": op2_fm_substring_dedup,
         "op3_pii_boosting": op3_pii_boosting,
         "op4_warc_dictionary": op4_warc_dictionary,
