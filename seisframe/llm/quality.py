@@ -126,6 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, updates: int
         yield pa.RecordBatch.from_arrays([pa.array([learner.weights().astype(np.float32).tobytes()], type=pa.binary())], names=["weights"])
 
     got = chosen.repartition(1).sortWithinPartitions("draw", "doc_id").select("text", "label").mapInArrow(run, "weights binary").collect()  # the weights
+    if not got:  # no labelled document
+        return Model(np.zeros((1 << bits) + 8, dtype=np.float32), bits)
     return Model(np.frombuffer(got[0][0], dtype=np.float32), bits)
 
 

@@ -101,7 +101,8 @@ def dictionary(records: DataFrame, sample: int = SAMPLE, seed: int = 4) -> bytes
         rows = [record(*row) for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([build_dictionary(rows)], type=pa.binary())], names=["dictionary"])
 
-    return chosen.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")).mapInArrow(run, "dictionary binary").collect()[0][0]
+    built = chosen.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")).mapInArrow(run, "dictionary binary").collect()
+    return bytes(built[0][0]) if built else b""  # nothing to build on in an empty table
 
 
 def _codecs(data: bytes, level: int = LEVEL):
