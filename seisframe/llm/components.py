@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+#: A graph of so many edges fits into one task, which then unites them without rounds (a few tens of MB).
+LOCAL_EDGES = 200_000
+
+
+def _united(edges: DataFrame) -> DataFrame:
+    """(id, component) of a graph that fits into one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            parent.setdefault(i, i)
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        ids = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([root(i) for i in ids], type=pa.int64())], names=["id", "component"])
+
+    return edges.repartition(1).mapInArrow(run, "id long, component long")
+
+
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", local: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) for every id of the edges (a, b); component is the smallest id reachable.
 
     In each round a vertex offers the smallest label among its neighbours to
@@ -16,11 +47,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     its label, so trees hook together and flatten at once and long chains take
     few rounds. Rounds end when no label changes.
     Labels are written to the shared folder after each round. Edges with a
-    null end are ignored.
+    null end are ignored. Up to ``local`` edges are united in one task instead.
     """
     spark = edges.sparkSession
     one = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    both = common.staged(one.union(one.select("b", "a")).distinct(), f"{name}-edges")
+    one = common.staged(one.distinct(), f"{name}-edges")
+    if one.count() <= local:
+        return common.staged(_united(one), name)
+    both = one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = common.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), name)
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
