@@ -326,11 +326,13 @@ def components(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
     links = linked.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     several = linked.where("blocks > 1").select("cluster", "block", "blocks", "id", "text")
     if not several.isEmpty():
-        level, seed = linked, 2
-        while True:
+        level, seed, before = linked, 2, linked.count()
+        while True:  # each level has fewer members; the last step below finds whatever these leave apart
             hubs = common.staged(level.where("hub and blocks > 1").select("id", "cluster", "text"), "hubs")
-            if hubs.isEmpty():
+            now = hubs.count()
+            if not 0 < now < before:
                 break
+            before = now
             again = hubs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
             level = common.staged(_link_blocks(_blocked(hubs, again, 2 * block, seed), size, percent), "links")
             links = links.union(level.where("id <> root").select("id", "root"))
