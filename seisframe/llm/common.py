@@ -64,6 +64,18 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+def release() -> None:
+    """Give freed memory back: Python workers outlive their task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of consecutive rows, about ``limit`` characters together; null text counts as empty."""
     for batch in batches:
@@ -92,6 +104,8 @@ def map_blocks(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: s
         for ids, texts in blocks(batches, limit):
             out = fn(ids, texts)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            del out
+        release()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -105,6 +119,7 @@ def keep_rows(docs: DataFrame, test: Callable[[list[str]], list[bool]], text_col
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
                 yield part.filter(pa.array(test([t or "" for t in part.column(at).to_pylist()]), type=pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -112,7 +127,7 @@ def keep_rows(docs: DataFrame, test: Callable[[list[str]], list[bool]], text_col
 class WordHashes(dict):
     """UTF-8 word -> 64-bit hash. It forgets what it has seen at ``LIMIT`` words, which bounds memory only."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -163,5 +178,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], d
         if key is not None:
             close()
         yield result()
+        del held, out
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

@@ -181,7 +181,7 @@ def train(labelled: DataFrame, pieces_file: str, sample: int = SAMPLE, rounds: i
 class Scorer:
     """Scores blocks of texts; keeps the likelihoods of recent words (``kept`` bounds them, not the result)."""
 
-    def __init__(self, model: Model, kept: int = 400_000):
+    def __init__(self, model: Model, kept: int = 150_000):
         self.model, self.kept = model, kept
         self.lattice = Lattice.of(model.pieces_file)
         self.known: dict[str, int] = {}
@@ -234,7 +234,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         langs, scores = own[0].predict(texts)
         return {"doc_id": ids, "lang_pred": langs, "score": scores}
 
-    return common.map_blocks(docs, run, "doc_id long, lang_pred string, score double", id_col, text_col, 2_000_000)
+    return common.map_blocks(docs, run, "doc_id long, lang_pred string, score double", id_col, text_col)
 
 
 def held_out() -> F.Column:
