@@ -85,7 +85,7 @@ def place_points(points: Sequence[Sequence[float]], geometry: Geometry, kind: st
         if t is None:
             raise ValueError("map coordinates need a fitted transform")
         q = p - [t.c, t.f]
-        p = np.column_stack([(q[:, 0] * t.e - q[:, 1] * t.b) / t.determinant, (q[:, 1] * t.a - q[:, 0] * t.d) / t.determinant])
+        p = np.column_stack([(q[:, 0] * t.e - q[:, 1] * t.b) / t.determinant, (q[:, 1] * t.a - q[:, 0] * t.d) / t.determinant]).round(6)
     if kind in ("xy", "line"):
         p = (p - [il.low, xl.low]) / [il.step, xl.step]
     if p.min() < 0 or p[:, 0].max() >= il.size or p[:, 1].max() >= xl.size:

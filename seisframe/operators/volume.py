@@ -83,17 +83,18 @@ def geometry_map(keys: DataFrame, geometry: Geometry) -> DataFrame:
     return grid(keys.sparkSession, geometry).join(placed, index, "left")
 
 
-def collect(traces: DataFrame, trace_count: int, nt: int, beg: int = -1, end: int = 0, tbeg: int = -1, tend: int = 0) -> DataFrame:
-    """A range of traces and samples: beg < 0 all; end < 0 up to the last; end = 0 the one at beg; the same for samples."""
+def bounds(beg: int, end: int, n: int) -> tuple[int, int]:
+    """Half-open range of n: beg < 0 all; end < 0 up to the last; end = 0 the one at beg."""
+    if beg < 0:
+        return 0, n
+    end = n if end < 0 else beg + 1 if end == 0 else end
+    if not 0 <= beg < end <= n:
+        raise IndexError(f"range {beg}..{end} is outside 0..{n}")
+    return beg, end
 
-    def bounds(a: int, b: int, n: int) -> tuple[int, int]:
-        if a < 0:
-            return 0, n
-        b = n if b < 0 else a + 1 if b == 0 else b
-        if not 0 <= a < b <= n:
-            raise IndexError(f"range {a}..{b} is outside 0..{n}")
-        return a, b
 
+def collect(traces: DataFrame, trace_count: int, nt: int, beg: int = -1, end: int = 0, tbeg: int = -1, tend: int = 0) -> DataFrame:
+    """A range of traces and of samples, each by ``bounds``."""
     a, b = bounds(beg, end, trace_count)
     t0, t1 = bounds(tbeg, tend, nt)
     rows = traces if (a, b) == (0, trace_count) else traces.where((F.col("trace_idx") >= a) & (F.col("trace_idx") < b))

@@ -4,8 +4,11 @@
 
 Modes: ``traces`` (keys, raw header, samples), ``headers`` (keys, raw header,
 decoded header), ``keys`` (keys only; sample bytes are never decoded),
-``binary`` (the binary header, one row) and ``textual`` (40 rows). Filters on
-``trace_idx`` prune the record ranges before a task is planned.
+``binary`` (the binary header, one row) and ``textual`` (40 rows). The options
+``first``, ``end`` and ``index`` choose records before a task is planned, ``t0``
+and ``t1`` samples before they are decoded. They are options and not pushed
+filters, as Spark keeps what one query pushed into a Python source for the next
+query over the same DataFrame.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .. import spec
@@ -107,26 +110,10 @@ class SegyReader(DataSourceReader):
 
         self.options, self.mode = options, options.get("mode", "traces")
         self.info = open_info(options["path"])
-        self.first, self.end = 0, self.info.trace_count
-        self.exact: set[int] | None = None
-
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("trace_idx",) and self.mode in ("traces", "headers", "keys"):
-                if isinstance(f, EqualTo):
-                    self.first, self.end = max(self.first, f.value), min(self.end, f.value + 1)
-                elif isinstance(f, GreaterThan):
-                    self.first = max(self.first, f.value + 1)
-                elif isinstance(f, GreaterThanOrEqual):
-                    self.first = max(self.first, f.value)
-                elif isinstance(f, LessThan):
-                    self.end = min(self.end, f.value)
-                elif isinstance(f, LessThanOrEqual):
-                    self.end = min(self.end, f.value + 1)
-                elif isinstance(f, In):
-                    wanted = {int(v) for v in f.value}
-                    self.exact = wanted if self.exact is None else self.exact & wanted
-            yield f  # Spark filters what is read again
+        n = self.info.trace_count
+        self.first, self.end = max(0, int(options.get("first", 0))), min(n, int(options.get("end", n)))
+        index = options.get("index")
+        self.exact = None if index is None else {int(i) for i in index.split(",") if i}
 
     def partitions(self) -> list[Span]:
         if self.mode in ("textual", "binary"):
@@ -338,8 +325,7 @@ class RawVolumeWriter(_InPlaceWriter):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both formats known to the session, and let filters reach them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make both formats known to the session."""
     spark.dataSource.register(SegySource)
     spark.dataSource.register(RawVolumeSource)
 

@@ -100,10 +100,10 @@ class Survey:
             return vol.fancy(self.traces, self.geometry, self.info.nt, key, self.fill)
         rows, tm = vol.normalise_key(key, self.shape)
         if isinstance(rows, tuple):
-            out = self.traces.where(vol.range_filter("trace_idx", rows)).withColumn("pos", F.col("trace_idx") - rows[0])
+            out = self._with_keys(segy.load(self.spark, self.path, "traces", first=rows[0], end=rows[1], **self.options)).withColumn("pos", F.col("trace_idx") - rows[0])
         else:
             index = self.spark.createDataFrame(list(enumerate(rows)), "pos int, trace_idx bigint")
-            out = index.join(self.traces.where(F.col("trace_idx").isin(rows)), "trace_idx")
+            out = index.join(segy.load(self.spark, self.path, "traces", index=",".join(map(str, rows)), **self.options), "trace_idx")
         at = F.slice("samples", tm[0] + 1, tm[1] - tm[0]) if isinstance(tm, tuple) else F.array(*(F.element_at("samples", i + 1) for i in tm))
         return out.select("pos", "trace_idx", at.alias("samples"))
 
