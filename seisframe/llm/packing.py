@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +44,9 @@ class ByteTokenizer:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        file = vocabulary.path(vocabulary.BYTE_BPE, folder)
-        self.exact = Tokenizer.from_file(file)
-        with open(file, encoding="utf-8") as f:
+        self.file = vocabulary.path(vocabulary.BYTE_BPE, folder)
+        with open(self.file, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(vocabulary.path(vocabulary.BYTE_BPE_RANKS, folder), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -56,6 +54,12 @@ class ByteTokenizer:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def encode(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
             return self.exact.encode(text, add_special_tokens=False).ids
