@@ -196,7 +196,7 @@ def _by_window(hot: DataFrame, window: int) -> DataFrame:
 
 def removed(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT) -> DataFrame:
     """(doc_id, row, spans): word intervals to remove, of documents that have any; ``docs`` is (doc_id, row, text)."""
-    anchors = _anchors(docs, window, run)
+    anchors = common.staged(_anchors(docs, window, run), "anchors")
     several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     shared = anchors.join(common.staged(several, "shared-anchors"), "anchor")
     found = common.staged(_stretches(docs, shared, window, run), "stretches")
