@@ -353,3 +353,18 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """The rows of ``docs`` that stay when one document of each component does, with all their columns."""
     gone = components(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+
+
+ORACLE = rf"""
+WITH RECURSIVE
+     d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     k AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+     sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM k),
+     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+     pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+     links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+     e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+     reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.doc_id)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -74,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_fm_substring_dedup": substring_dedup.ORACLE,
         "op4_warc_dictionary": warc.ORACLE,
         "op5_extendible_hash_dedup": exact_dedup.ORACLE,
+        "op8_hyperminhash": hyperminhash.ORACLE,
     }

@@ -246,3 +246,16 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
 def digests(docs: DataFrame) -> DataFrame:
     return clean(docs).drop("kept")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     k AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+     win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM k WHERE i + 49 <= len(w)),
+     first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+     hit AS (SELECT win.doc_id, i FROM win JOIN first USING (s) WHERE m < win.doc_id),
+     gone AS (SELECT DISTINCT doc_id, i + o AS i FROM hit, range(0, 50) t(o)),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(w[i], ' ' ORDER BY i) AS t FROM k ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
