@@ -28,7 +28,7 @@ from . import common, vocabulary
 
 WINDOW, END_ID = 1024, 0
 #: Triples tried for each shortest member, rounds of the solver, and documents packed together inside a task.
-TRIPLES, ROUNDS, CHUNK = 12, 400, 20_000
+TRIPLES, ROUNDS, CHUNK = 12, 400, 8_000
 COMBINATIONS = WINDOW // 2 + TRIPLES * (WINDOW // 3 + 1)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
