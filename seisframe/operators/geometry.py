@@ -43,7 +43,7 @@ class Geometry:
 def key_axis(keys: DataFrame, column: str) -> DataFrame:
     """One row (low, high, step): step is the smallest gap of the sorted distinct keys (1 for a single key)."""
     distinct = keys.select(F.col(column).cast("long").alias("k")).where("k is not null").distinct()
-    # neighbours are found range by range; the one key that opens a range is compared with the end of the range before
+    # one task orders the distinct keys: as many as the survey has lines, not traces
     gaps = distinct.withColumn("gap", F.col("k") - F.lag("k").over(Window.orderBy("k")))
     return gaps.agg(F.min("k").alias("low"), F.max("k").alias("high"), F.coalesce(F.min("gap"), F.lit(1)).alias("step"))
 
