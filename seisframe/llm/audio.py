@@ -4,9 +4,9 @@ A recording is cut into overlapping frames; each frame's spectrum is folded
 into twelve pitch classes, smoothed over time and scaled. Rectangles of the
 frame-by-class picture are summed by an integral image; sixteen filters compare
 two areas each, and every filter's two-bit answer is packed into one integer
-for each position. Two recordings are aligned by a histogram of the offsets at
-which leading bits of their integers agree, and judged by the share of bits
-that differ over the overlap.
+for each position. Two recordings are aligned by a histogram of offsets that sums
+the bits in which their integers differ, and judged by the share of such bits
+over the overlap. The histogram covers every offset, so no match is missed.
 
 Recordings with equal fingerprints are one class. The queries (a stated part
 of the rows) are searched in blocks of bounded size against all classes.
@@ -26,10 +26,10 @@ from . import common
 
 #: Samples a second after folding down, frame length and step in seconds, and the range of pitches in Hz.
 RATE, FRAME, STEP, LOW, HIGH = 5512, 0.3715, 0.1238, 55.0, 1760.0
-#: Leading bits that a vote needs, votes at least, overlap at least, and the share of wrong bits up to which recordings match.
-VOTE_BITS, VOTES, OVERLAP, ERRORS = 20, 3, 12, 0.2
-#: Queries searched together.
-BLOCK = 2000
+#: Overlap at least (the whole of a shorter recording), and the share of wrong bits up to which recordings match.
+OVERLAP, ERRORS = 12, 0.2
+#: Queries searched together, and about how many places of theirs are compared at once (this bounds memory only).
+BLOCK, PLACES = 2000, 32_768
 #: Filters: kind, first class, height (classes), width (positions). Kinds: 0 whole against nothing, 1 upper against
 #: lower half, 2 earlier against later half, 3 crossed quarters, 4 middle against outer classes, 5 middle against outer positions.
 WIDTH = 12
@@ -143,43 +143,82 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col)).mapInArrow(run, "id long, n_items long, items binary, sha256 string")
 
 
+class Layout:
+    """Items of some queries in one row, so far apart that a recording of n items never overlaps two of them enough."""
+
+    def __init__(self, items: list[np.ndarray], first: int, n: int):
+        sizes = np.array([len(x) for x in items])
+        need = np.minimum(min(OVERLAP, n), sizes)
+        gap = n - int(need.min())
+        start = gap + np.cumsum(sizes + gap) - sizes - gap
+        self.count = int(start[-1] + sizes[-1])  # places at which a recording can begin
+        row = np.zeros(self.count + n + 1, dtype=np.uint64)
+        for at, x in zip(start.tolist(), items, strict=True):
+            row[at : at + len(x)] = x
+        self.single = row.astype(np.uint32)
+        self.double = row[:-1] | row[1:] << np.uint64(32)
+        # the places that belong to a query: from -gap on, which shares at least `need` items with it
+        own = np.repeat(np.arange(len(items)), n + sizes - 2 * need + 1)
+        ends = np.cumsum(n + sizes - 2 * need + 1)
+        nth = np.arange(ends[-1]) - np.repeat(ends - (n + sizes - 2 * need + 1), n + sizes - 2 * need + 1)
+        self.shift = (n - need)[own] - nth
+        self.place = start[own] - self.shift
+        self.a, self.b = np.maximum(0, self.shift), np.minimum(n, sizes[own] + self.shift)
+        self.who = first + own
+
+    def wrong_bits(self, items: np.ndarray) -> np.ndarray:
+        """Bits in which a recording that begins at each of the places differs from the query there."""
+        n = len(items)
+        total = np.zeros(self.count, dtype=np.uint16 if 32 * n < 1 << 16 else np.uint32)
+        apart, bits = np.empty(self.count, dtype=np.uint64), np.empty(self.count, dtype=np.uint8)
+        wide = items.astype(np.uint64)
+        pairs = wide[: n - 1 : 2] | wide[1::2] << np.uint64(32)
+        for k, word in enumerate(pairs):
+            np.bitwise_xor(self.double[2 * k : 2 * k + self.count], word, out=apart)
+            np.bitwise_count(apart, out=bits)
+            np.add(total, bits, out=total)
+        if n % 2:
+            total += np.bitwise_count(self.single[n - 1 : n - 1 + self.count] ^ items[-1])
+        # items beside the query met zeros: their own bits were counted
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(items), dtype=np.int64)])
+        return total[self.place] - (ones[n] - ones[self.b] + ones[self.a])
+
+
 class QueryBlock:
-    """An inverted index from leading bits to the places of some queries' items."""
+    """Some queries, compared with recordings at every offset."""
 
     def __init__(self, ids: list[int], items: list[bytes]):
-        self.ids = ids
-        self.items = [np.frombuffer(x, dtype="<u4") for x in items]
-        who = np.repeat(np.arange(len(ids)), [len(x) for x in self.items])
-        at = np.concatenate([np.arange(len(x)) for x in self.items]) if ids else np.empty(0, dtype=int)
-        key = (np.concatenate(self.items) if ids else np.empty(0, dtype=np.uint32)) >> np.uint32(32 - VOTE_BITS)
-        order = np.argsort(key, kind="stable")
-        self.key, self.who, self.at = key[order], who[order], at[order]
+        own = [(i, x) for i, x in zip(ids, (np.frombuffer(x, dtype="<u4") for x in items), strict=True) if len(x)]
+        self.ids, self.items = [i for i, _ in own], [x for _, x in own]
+        self.layouts: tuple[int, list[Layout]] = (0, [])
+
+    def _layouts(self, n: int) -> list[Layout]:
+        """The queries dealt into rows of about ``PLACES`` places for recordings of n items; the last n is kept."""
+        if self.layouts[0] != n:
+            out, first, size = [], 0, 0
+            for k, x in enumerate(self.items):
+                size += len(x) + n
+                if size >= PLACES or k == len(self.items) - 1:
+                    out.append(Layout(self.items[first : k + 1], first, n))
+                    first, size = k + 1, 0
+            self.layouts = (n, out)
+        return self.layouts[1]
 
     def search(self, items: np.ndarray) -> list[tuple[int, int, float]]:
-        """(query id, offset, share of wrong bits) of the queries that match a recording; offset: recording minus query."""
-        key = items >> np.uint32(32 - VOTE_BITS)
-        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, side="right")
-        n = high - low
-        if not n.sum():
+        """(query id, offset, share of wrong bits) of the queries that match a recording; offset: recording minus query.
+
+        Each offset with overlap enough is judged. Of a query's matches the one
+        with the smallest share counts, then the longest overlap, then the smallest offset.
+        """
+        if not len(items):
             return []
-        flat = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-        who, offset = self.who[flat], np.repeat(np.arange(len(items)), n) - self.at[flat]
-        span = 1 << 32
-        votes, counts = np.unique(who * span + (offset + (span >> 1)), return_counts=True)
-        enough = counts >= VOTES
-        votes, counts = votes[enough], counts[enough]
-        out = {}
-        for code, count in sorted(zip(votes.tolist(), counts.tolist(), strict=True), key=lambda x: (-x[1], x[0])):
-            q, shift = code // span, code % span - (span >> 1)
-            if q in out:
-                continue  # its best offset has been judged
-            own = self.items[q]
-            a, b = max(0, shift), min(len(items), len(own) + shift)
-            wrong = 1.0
-            if b - a >= min(OVERLAP, len(items), len(own)):
-                wrong = float(np.bitwise_count(items[a:b] ^ own[a - shift : b - shift]).sum() / (32 * (b - a)))
-            out[q] = (shift, wrong)
-        return [(self.ids[q], shift, wrong) for q, (shift, wrong) in out.items() if wrong <= ERRORS]
+        best: dict[int, tuple[float, int, int]] = {}
+        for row in self._layouts(len(items)):
+            share = row.wrong_bits(items) / (32 * (row.b - row.a))
+            for k in np.flatnonzero(share <= ERRORS).tolist():
+                q, hit = int(row.who[k]), (float(share[k]), int(row.a[k] - row.b[k]), int(row.shift[k]))
+                best[q] = min(best.get(q, hit), hit)
+        return [(self.ids[q], shift, wrong) for q, (wrong, _, shift) in best.items()]
 
 
 def _found(classes: DataFrame, block: QueryBlock) -> DataFrame:

@@ -39,6 +39,39 @@ def test_cuts_and_noise_align_and_others_do_not():
     assert sum(len(block([own]).search(o)) for o in others) <= 1
 
 
+def every_offset(own, items):
+    """(offset, share) of the best match by plain loops; None without one."""
+    need = min(audio.OVERLAP, len(own), len(items))
+    found = []
+    for shift in range(-len(own) + 1, len(items)):
+        a, b = max(0, shift), min(len(items), len(own) + shift)
+        if b - a >= max(need, 1):
+            wrong = sum(int(items[i] ^ own[i - shift]).bit_count() for i in range(a, b)) / (32 * (b - a))
+            found += [(wrong, a - b, shift)] if wrong <= audio.ERRORS else []
+    return (min(found)[2], min(found)[0]) if found else None
+
+
+@pytest.mark.parametrize("places", [50, 32_768])
+def test_every_match_up_to_the_threshold_is_found(monkeypatch, places):
+    monkeypatch.setattr(audio, "PLACES", places, raising=False)
+    rng = np.random.default_rng(7)
+    queries = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (34, 34, 1, 5, 12, 13, 80, 34, 0)]
+    queries.append(np.full(20, 5, dtype=np.uint32))
+    recordings = [np.full(30, 5, dtype=np.uint32), queries[6][20:], queries[0][:1], np.empty(0, dtype=np.uint32)]
+    for q in queries:
+        for share in (0.1, 0.17, 0.19, 0.21):
+            flips = (rng.random((len(q), 32)) < share) @ (1 << np.arange(32, dtype=np.int64))
+            x = q ^ flips.astype(np.uint32)
+            before, cut = rng.integers(0, 1 << 32, rng.integers(0, 9), dtype=np.uint32), rng.integers(0, 9)
+            recordings.append(np.concatenate([before, x[cut:]]))
+    matches = 0
+    for items in recordings:
+        want = {k: hit for k, q in enumerate(queries) if (hit := every_offset(q, items))}
+        assert {k: (shift, wrong) for k, shift, wrong in block(queries).search(items)} == want
+        matches += len(want)
+    assert matches > 15
+
+
 def test_filters_match_plain_sums():
     x, rate = audio.play(vector(3))
     picture = audio.pitch_classes(x, rate)
