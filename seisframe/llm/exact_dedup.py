@@ -118,9 +118,11 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``mark`` keeps, with all their columns."""
-    gone = mark(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that ``mark`` keeps, with all their columns. Null and repeated ids are told apart by text."""
+    gone = mark(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__text"))
+    norm = common.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    named = docs.withColumn("__sha256", F.sha2(norm, 256))
+    return named.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__sha256") == F.col("__text")), "left_anti").drop("__sha256")
 
 
 ORACLE = f"""

@@ -8,7 +8,8 @@ and documents that no estimate tells apart form candidate clusters. Inside a
 cluster, pairs are confirmed on their full sets, until everything is either
 connected or refuted.
 
-Only one document of each distinct set takes part. A cluster of more than
+Only one document of each distinct set takes part, under a number of its own, so
+null and repeated ids link nothing. A cluster of more than
 ``BLOCK`` documents is dealt over tasks in blocks: links inside blocks first,
 then links between central members of blocks, and then each document outside
 the cluster's main component against all blocks. A link between two documents
@@ -18,8 +19,10 @@ while copies that hang together are never compared pair by pair.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -204,7 +207,7 @@ class Linker:
 
 
 def features(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands, sketch): s1 and s2 identify the set."""
+    """(doc_id, text_sha256, n_shingles, s1, s2, bands, sketch): s1 and s2 identify the set."""
     own: list[common.WordHashes] = []
 
     def run(ids: list, texts: list[str]) -> dict:
@@ -217,9 +220,10 @@ def features(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
         sums = [np.concatenate([[0], np.cumsum(mix(flat * _A))]).astype(np.uint64), np.concatenate([[0], np.cumsum(mix(flat ^ _C))]).astype(np.uint64)]
         s1, s2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
         registers = sketches(sets, rows_for(percent))
-        return {"doc_id": ids, "n_shingles": n, "s1": s1, "s2": s2, "bands": band_keys(registers), "sketch": [r.tobytes() for r in shortened(registers)]}
+        digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        return {"doc_id": ids, "text_sha256": digests, "n_shingles": n, "s1": s1, "s2": s2, "bands": band_keys(registers), "sketch": [r.tobytes() for r in shortened(registers)]}
 
-    return common.map_blocks(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary", id_col, text_col)
+    return common.map_blocks(docs, run, "doc_id long, text_sha256 string, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary", id_col, text_col)
 
 
 def _blocked(members: DataFrame, sizes: DataFrame, block: int, seed: int) -> DataFrame:
@@ -295,33 +299,31 @@ def _outside(members: DataFrame, labels: DataFrame, size: int, percent: int) ->
     return common.map_groups(dealt, ["cluster", "block", "part"], run, "a long, b long")
 
 
-def components(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _sha256(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
-    A-Z are lower-cased, words are runs of anything but ASCII white space, and
-    documents whose sets have 100 * intersection >= percent * union are
-    linked. Null and empty texts have an empty set, are linked with nothing and
-    stay. Rows with equal sets are linked whatever their number; rows of the
-    same id stay or go together. A null id counts as larger than any other.
-    Columns besides id and text are not read.
-    """
-    named = docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text_col).alias("text"))
-    found = common.staged(features(named, size, percent, "doc_id", "text"), "sketches")
+
+def _marked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, block: int) -> DataFrame:
+    """One row per document: doc_id, text_sha256, n_shingles, component_id, kept."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = common.staged(features(named, size, percent, "doc_id", "text").withColumn("id", F.monotonically_increasing_id()), "sketches")
     sets = ["n_shingles", "s1", "s2"]
-    firsts = common.staged(found.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("id")), "sets")
-    first = found.withColumnRenamed("doc_id", "id").join(firsts, ["id", *sets], "left_semi")
+    firsts = common.staged(found.where("n_shingles > 0").groupBy(*sets).agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id")), "sets")
+    first = found.join(firsts.select("id"), "id", "left_semi")
     banded = first.select("id", F.explode("bands").alias("band"))
     # bands in which the same documents meet count once
     met = banded.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.sum(F.xxhash64("id").bitwiseAND((1 << 40) - 1)).alias("who")).where("n > 1")
     met = common.staged(met.groupBy("n", "first", "last", "who").agg(F.min("band").alias("band")).select("band", "first", "n"), "bands")
     rows = common.staged(banded.join(met, "band").select("band", "id", "first", "n"), "meetings")
     stars = rows.where((F.col("n") > MEETING) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b"))
-    small = rows.where(F.col("n") <= MEETING).select("band", "id").join(found.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id").select("band", "id", "n_shingles", "sketch")
+    small = rows.where(F.col("n") <= MEETING).select("band", "id").join(found.select("id", "n_shingles", "sketch"), "id").select("band", "id", "n_shingles", "sketch")
     candidates = common.staged(_meet(small, percent).union(stars).distinct(), "candidates")
     members = connected_components(candidates, "clusters").withColumnRenamed("component", "cluster")
     sizes = common.staged(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
-    texts = named.select(F.col("doc_id").alias("id"), "text")
-    dealt = _blocked(members, sizes, block, 1).join(texts, "id")
+    texts = named.select(F.col("doc_id").alias("own"), _sha256("text").alias("sha256"), "text")
+    wanted = _blocked(members, sizes, block, 1).join(first.select("id", "doc_id", "text_sha256"), "id")
+    dealt = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_sha256") == F.col("sha256"))).select("id", "cluster", "block", "blocks", "text")
+    dealt = dealt.dropDuplicates(["id"])  # rows equal in id and text
     linked = common.staged(_link_blocks(dealt, size, percent), "links")
     links = linked.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     several = linked.where("blocks > 1").select("cluster", "block", "blocks", "id", "text")
@@ -340,19 +342,37 @@ def components(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str =
         so_far = connected_components(links, "so-far")
         links = links.union(common.staged(_outside(several, so_far, size, percent), "outside"))
     labels = connected_components(links, "near-duplicates")
-    marked = firsts.join(labels, "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
+    least = labels.join(firsts.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = labels.join(least, "component").select("id", "component_id")
+    marked = firsts.join(labels, "id", "left").select(*sets, F.coalesce("component_id", "doc_id").alias("component_id"))
     return (
-        found.select("doc_id", *sets)
+        found.select("doc_id", "text_sha256", *sets)
         .join(marked, sets, "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .select(F.nullif("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit((1 << 63) - 1)).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        .select("doc_id", "text_sha256", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def components(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    A-Z are lower-cased, words are runs of anything but ASCII white space, and
+    documents whose sets have 100 * intersection >= percent * union are
+    linked. Null and empty texts have an empty set, are linked with nothing and
+    stay. Rows with equal sets are linked whatever their number; rows of the
+    same id are not, unless their sets are. The smallest id of a component
+    stays. Rows of the component that repeat that id all stay; a null id stays
+    only in a component without any other id. Columns besides id and text are
+    not read.
+    """
+    return _marked(docs, size, percent, id_col, text_col, block).drop("text_sha256")
+
+
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does, with all their columns."""
-    gone = components(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that ``components`` keeps, with all their columns. Null and repeated ids are told apart by text."""
+    gone = _marked(docs, size, percent, id_col, text_col, BLOCK).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__text"))
+    named = docs.withColumn("__sha256", _sha256(text_col))
+    return named.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__sha256") == F.col("__text")), "left_anti").drop("__sha256")
 
 
 ORACLE = rf"""

@@ -41,6 +41,12 @@ def test_null_and_repeated_ids(spark):
     assert all(r.kept for r in got if r.keep_id is None)
 
 
+def test_deduplicate_with_null_and_repeated_ids(spark):
+    rows = [(1, "a"), (1, "b"), (2, "B"), (None, "b"), (None, "c"), (None, "C"), (3, None), (4, "")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a"), (2, "B"), (None, "c"), (None, "C"), (4, "")]))
+
+
 def test_empty_table_and_columns(nothing, docs, rows):
     assert exact_dedup.mark(nothing).collect() == []
     kept = exact_dedup.deduplicate(docs)

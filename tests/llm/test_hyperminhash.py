@@ -68,6 +68,19 @@ def test_empty_table_nulls_and_columns(spark, nothing, docs):
     assert hyperminhash.deduplicate(docs).columns == docs.columns
 
 
+def test_null_and_repeated_ids_link_nothing(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, two, other = " ".join(words), " ".join(words[:30]), "some more words that are nowhere else"
+    # a null near copy of 7 and one of 9, an unlinked null, and a repeated id with a copy of 9 and a text of its own
+    rows = [(7, one), (None, one + " x"), (9, two), (None, two + " y"), (None, other), (12, two + " z"), (12, "nothing like it at all"), (5, None)]
+    rows += [(None, "null ids only here a b c"), (None, "Null ids only here a b c")] + [(None, one + " x")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in hyperminhash.components(frame, 3, 85).collect()}
+    assert got == {(7, 58, 7, True), (None, 59, 7, False), (9, 28, 9, True), (None, 29, 9, False), (None, 5, None, True), (12, 29, 9, False), (12, 3, 12, True), (5, 0, 5, True)}
+    kept = sorted(map(str, map(tuple, hyperminhash.deduplicate(frame, 3, 85).collect())))
+    assert kept == sorted(map(str, [rows[0], rows[2], rows[4], *rows[6:10]]))
+
+
 def test_components_of_a_long_chain(spark):
     order = [(k * 37) % 101 for k in range(101)]
     edges = spark.createDataFrame([*zip(order, order[1:]), (500, 501), (None, 3)], "a long, b long")
