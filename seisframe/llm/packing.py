@@ -1,69 +1,80 @@
 """Packing token sequences by non-negative least squares over shallow length combinations.
 
 Each document's ids are cut into whole windows and a rest. The rests' length
-histogram over all documents is matched by combinations of two or three
-lengths that fill a window exactly: their repeat counts solve a non-negative
-least-squares problem. Every task then fills windows from its own rests in the
-solution's proportions, rounded, and packs what is left greedily, end to end,
-cutting at window ends; the last, shorter run is cut into powers of two, which
-need no padding.
-
-No document's ids are shuffled. The driver holds the histogram (one number for
-each length below the window) and the solution (at most ``COMBINATIONS``).
+histogram over all documents is matched by all combinations of two or three
+lengths that fill a window exactly: their repeat counts solve one non-negative
+least-squares problem for the whole corpus and are rounded once. Every length
+so has a quota of rests that stand in filled windows. A rest's rank among the
+rests of its length decides its window; ranks come from a running sum over the
+counts of each task, so no task sees all rests and no ids are shuffled, only
+five numbers for each document. Rests beyond the quotas are packed greedily,
+end to end, cutting at window ends, where they are scanned; each task's last,
+shorter run is cut into powers of two, which need no padding.
+
+The driver holds the histogram and quotas (a number for each length below the
+window) and the solution (at most a number for each combination).
 """
 
 from __future__ import annotations
 
-import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, vocabulary
 
 WINDOW, END_ID = 1024, 0
-#: Triples tried for each shortest member, rounds of the solver, and documents packed together inside a task.
-TRIPLES, ROUNDS, CHUNK = 12, 400, 8_000
-COMBINATIONS = WINDOW // 2 + TRIPLES * (WINDOW // 3 + 1)
+#: Rounds of the solver, and characters of one text that the tokenizer gets at once where a text can be cut (this bounds memory only).
+ROUNDS, CUT = 150, 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+#: Sequence ids start here for windows filled by combinations, and for those packed end to end.
+FILLED, RESIDUAL = 1 << 60, 1 << 61
+#: Between such characters a pre-token always ends, so ids on both sides are independent.
+_SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 class ByteTokenizer:
-    """Ids as the ``tokenizers`` library gives for byte_bpe_50k.json without special tokens added.
-
-    The same vocabulary's ranks in tiktoken give equal ids for ordinary text and
-    are faster; a text that holds a special token's string goes to ``tokenizers``.
-    """
+    """Ids of the ``tokenizers`` library for byte_bpe_50k.json, no special tokens added."""
 
     def __init__(self, folder: str | None = None):
-        import base64
-
-        import tiktoken
-
-        self.file = vocabulary.path(vocabulary.BYTE_BPE, folder)
-        with open(self.file, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
-        with open(vocabulary.path(vocabulary.BYTE_BPE_RANKS, folder), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        # the pre-tokenisation pattern that belongs to this vocabulary
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    @cached_property
-    def exact(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.file)
+        self.own = Tokenizer.from_file(vocabulary.path(vocabulary.BYTE_BPE, folder))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Little-endian 32-bit ids of each text."""
+        parts, sizes = [], []
+        for text in texts:
+            own = list(self._cut(text)) if len(text) > CUT else [text]
+            parts += own
+            sizes.append(len(own))
+        ids: list[np.ndarray] = []
+        for i in range(0, len(parts), 256):
+            ids += [np.array(e.ids, dtype="<u4") for e in self.own.encode_batch_fast(parts[i : i + 256], add_special_tokens=False)]
+        out, at = [], 0
+        for n in sizes:
+            out.append(ids[at] if n == 1 else np.concatenate(ids[at : at + n]))
+            at += n
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+    @staticmethod
+    def _cut(text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > CUT:
+            seam = _SEAM.search(text, at + CUT)
+            if not seam:
+                break
+            yield text[at : seam.start()]
+            at = seam.start()
+        yield text[at:]
 
 
 @lru_cache(maxsize=1)
@@ -71,25 +82,46 @@ def tokenizer(folder: str | None = None) -> ByteTokenizer:
     return ByteTokenizer(folder)
 
 
-def tokenised(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of the text and END_ID, as little-endian 32-bit integers. Null text counts as empty."""
+def tokenised(docs: DataFrame, folder: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, ids those of the text and END_ID; null text counts as empty.
 
-    def run(ids: list, texts: list[str]) -> dict:
-        own = tokenizer(folder)
-        rows = [np.array([*own.encode(t), END_ID], dtype="<u4") for t in texts]
-        return {"doc_id": ids, "n_tokens": [len(r) for r in rows], "ids": [r.tobytes() for r in rows]}
-
-    return common.map_blocks(docs, run, "doc_id long, n_tokens long, ids binary", id_col, text_col)
+    Columns: doc_id, n_tokens, first_window (sequence id of its first whole
+    window), crcs (of each whole window), rest_len, rest (ids after the whole
+    windows), rest_crc, part and nth (the task, and the place there among
+    rests of that length).
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def combinations(window: int = WINDOW, triples: int = TRIPLES) -> np.ndarray:
-    """Rows of three lengths (0 for none) that fill the window: all pairs, and evenly spread triples."""
-    rows = [(a, window - a, 0) for a in range(1, window // 2 + 1)]
+        own, part = tokenizer(folder), TaskContext.get().partitionId()
+        windows, seen = part << 36, np.zeros(window, dtype=np.int64)
+        for ids, texts in common.blocks(batches):
+            cols: list[list] = [[] for _ in range(9)]
+            for doc, row in zip(ids, own.encode_all(texts), strict=True):
+                row = np.append(row, np.uint32(END_ID)).astype("<u4")
+                whole = len(row) // window
+                rest = row[whole * window :]
+                crcs = [zlib.crc32(row[k * window : (k + 1) * window].tobytes()) for k in range(whole)]
+                for c, v in zip(cols, (doc, len(row), windows, crcs, len(rest), rest.tobytes(), zlib.crc32(rest.tobytes()), part, int(seen[len(rest)])), strict=True):
+                    c.append(v)
+                windows += whole
+                seen[len(rest)] += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_tokens", "first_window", "crcs", "rest_len", "rest", "rest_crc", "part", "nth"])
+        common.release()
+
+    schema = "doc_id long, n_tokens long, first_window long, crcs array<long>, rest_len int, rest binary, rest_crc long, part int, nth long"
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+def combinations(window: int = WINDOW) -> np.ndarray:
+    """Rows of three lengths (0 for none) that fill the window: all pairs and all triples."""
+    rows = [np.array([(a, window - a, 0) for a in range(1, window // 2 + 1)])]
     for a in range(1, window // 3 + 1):
-        span = (window - a) // 2 - a
-        for b in sorted({a + span * k // max(1, triples - 1) for k in range(triples)}):
-            rows.append((a, b, window - a - b))
-    return np.array(rows, dtype=np.int64)
+        b = np.arange(a, (window - a) // 2 + 1)
+        rows.append(np.stack([np.full(len(b), a), b, window - a - b], axis=1))
+    return np.concatenate(rows).astype(np.int64)
 
 
 def solve(histogram: np.ndarray, parts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -97,122 +129,179 @@ def solve(histogram: np.ndarray, parts: np.ndarray, rounds: int = ROUNDS) -> np.
     want = histogram.astype(float).copy()
     want[0] = 0
     size = len(want)
-    weight = (parts > 0).astype(float)
     usable = ((parts == 0) | (want[parts] > 0)).all(axis=1)
-    x = np.where(usable, np.maximum(want.sum(), 1.0) / max(1, usable.sum()) / 2, 0.0)
+    out = np.zeros(len(parts))
+    parts = parts[usable]
+    if not len(parts):
+        return out
+    weight = (parts > 0).astype(float)
+    x = np.full(len(parts), want.sum() / len(parts) / 2)
     top = (want[parts] * weight).sum(axis=1)
     for _ in range(rounds):
         made = np.bincount(parts.ravel(), (x[:, None] * weight).ravel(), size)
         below = (made[parts] * weight).sum(axis=1)
-        x = np.where(below > 0, x * top / np.maximum(below, 1e-12), 0.0)
-    return x
+        x = np.where(below > 0, x * top / np.maximum(below, 1e-300), 0.0)
+    out[usable] = x
+    return out
 
 
-class Packer:
-    """Packs one task's documents, CHUNK at a time. Sequence ids start with the task's partition id."""
+def rounded(x: np.ndarray, parts: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """Whole repeat counts near x that no length has too few rests for.
 
-    def __init__(self, parts: np.ndarray, share: np.ndarray, partition: int, window: int = WINDOW):
-        self.parts, self.share, self.window = parts, share, window
-        self.next_sequence = partition << 32
+    First the whole part of each count, then one more by falling fraction, and
+    at last as many more as still fit; afterwards no combination fits.
+    """
+    left = histogram.astype(np.int64).copy()
+    left[0] = 0
+    out = np.zeros(len(parts), dtype=np.int64)
+    whole = np.floor(x).astype(np.int64)
+    everything = np.full(len(parts), int(left.sum()))
+    for order, most in ((np.argsort(-x, kind="stable"), whole), (np.argsort(whole - x, kind="stable"), (x > whole).astype(np.int64)), (np.argsort(-x, kind="stable"), everything)):
+        fits = ((parts == 0) | (left[parts] > 0)).all(axis=1) & (most > 0)
+        for c in order[fits[order]].tolist():
+            own = [int(p) for p in parts[c] if p]
+            times = min(int(most[c]), *(int(left[p]) // own.count(p) for p in set(own)))
+            if times > 0:
+                out[c] += times
+                for p in own:
+                    left[p] -= times
+    return out
+
+
+class Slots:
+    """Where the rests of each length go: a rank below the length's quota names a window and an offset."""
+
+    def __init__(self, parts: np.ndarray, times: np.ndarray, window: int):
+        used = times > 0
+        parts, times = parts[used], times[used]
+        first = np.cumsum(times) - times
+        length, count, window_at, offset = [], [], [], []
+        for k in range(3):
+            real = parts[:, k] > 0
+            length.append(parts[real, k])
+            count.append(times[real])
+            window_at.append(first[real])
+            offset.append(parts[real, :k].sum(axis=1))
+        length, count, window_at, offset = map(np.concatenate, (length, count, window_at, offset))
+        order = np.argsort(length, kind="stable")
+        self.length, self.count, self.window_at, self.offset = length[order], count[order], window_at[order], offset[order]
+        self.quota = np.bincount(length, count, window).astype(np.int64)[:window]
+        total = np.cumsum(self.count) - self.count  # slots before each row, over all lengths
+        begin = np.concatenate([[0], np.cumsum(self.quota)])
+        self.begin, self.total = begin, total
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence id, offset) of rests whose rank is below their length's quota."""
+        place = self.begin[length] + rank
+        row = np.searchsorted(self.total, place, side="right") - 1
+        return FILLED + self.window_at[row] + place - self.total[row], self.offset[row]
+
+
+class EndToEnd:
+    """Fills windows with ids from one task, cutting rests at window ends."""
+
+    def __init__(self, partition: int, window: int):
+        self.sequence, self.window = RESIDUAL | partition << 32, window
+        self.held: list[tuple] = []  # (doc, start, ids, total), less than a window together
+        self.size = 0
         self.out: list[tuple] = []
-        self.rests: list[tuple] = []
-
-    def _sequence(self) -> int:
-        self.next_sequence += 1
-        return self.next_sequence - 1
-
-    def _put(self, doc, start: int, ids: np.ndarray, total: int, sequence: int, offset: int, length: int) -> None:
-        self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset, length))
-
-    def add(self, doc, ids: np.ndarray) -> None:
-        n, w = len(ids), self.window
-        for k in range(n // w):
-            self._put(doc, k * w, ids[k * w : (k + 1) * w], n, self._sequence(), 0, w)
-        if n % w:
-            self.rests.append((doc, n - n % w, ids[n - n % w :].copy(), n))
-
-    def finish(self) -> list[tuple]:
-        """Pack the rests gathered so far; returns all pieces since the last call."""
-        bins: dict[int, list[int]] = {}
-        for i, (_, _, ids, _) in enumerate(self.rests):
-            bins.setdefault(len(ids), []).append(i)
-        left = np.zeros(self.window + 1, dtype=np.int64)
-        for n, own in bins.items():
-            left[n] = len(own)
-        goal = self.share * len(self.rests)
-        whole = np.floor(goal)
-        for extra in (False, True):
-            # the whole part of each goal first, then one more of each by falling fraction
-            for c in np.argsort(-(goal - whole) if extra else -whole, kind="stable"):
-                times = (1 if goal[c] > 0 else 0) if extra else int(whole[c])
-                if not times:
-                    break
-                own = [int(p) for p in self.parts[c] if p]
-                if left[own].min() < 1:
-                    continue
-                for _ in range(times):
-                    need = {p: own.count(p) for p in own}
-                    if any(left[p] < k for p, k in need.items()):
-                        break
-                    sequence, offset = self._sequence(), 0
-                    for p in own:
-                        doc, start, ids, total = self.rests[bins[p].pop()]
-                        left[p] -= 1
-                        self._put(doc, start, ids, total, sequence, offset, self.window)
-                        offset += p
-        rest = [self.rests[i] for n in sorted(bins, reverse=True) for i in bins[n]]
-        self._end_to_end(rest)
-        out, self.out, self.rests = self.out, [], []
-        return out
 
-    def _end_to_end(self, rest: list[tuple]) -> None:
-        todo = sum(len(r[2]) for r in rest)
-        room = offset = sequence = length = 0
-        for doc, start, ids, total in rest:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    # a full window, or the largest power of two that what is left still fills
-                    length = self.window if todo >= self.window else 1 << (todo.bit_length() - 1)
-                    room, offset, sequence = length, 0, self._sequence()
-                take = min(room, len(ids) - at)
-                self._put(doc, start + at, ids[at : at + take], total, sequence, offset, length)
-                at, offset, room, todo = at + take, offset + take, room - take, todo - take
+    def _emit(self, length: int) -> None:
+        offset = 0
+        while offset < length:
+            doc, start, ids, total = self.held.pop(0)
+            take = ids[: length - offset]
+            self.out.append((doc, start, len(take), zlib.crc32(take.tobytes()), total, self.sequence, offset, length))
+            offset += len(take)
+            if len(take) < len(ids):
+                self.held.insert(0, (doc, start + len(take), ids[len(take) :], total))
+        self.size -= length
+        self.sequence += 1
 
+    def add(self, doc, start: int, ids: np.ndarray, total: int) -> None:
+        self.held.append((doc, start, ids, total))
+        self.size += len(ids)
+        while self.size >= self.window:
+            self._emit(self.window)
 
-def pack(docs: DataFrame, folder: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
+    def finish(self) -> None:
+        while self.size:
+            self._emit(1 << (self.size.bit_length() - 1))
 
-    Null text counts as empty and gives the single id 0. Every row is packed,
-    also those with a null or repeated id. An empty table gives no pieces.
-    Columns besides id and text are not read.
-    """
-    if window & (window - 1):
-        raise ValueError("the window must be a power of two")
-    tokens = common.staged(tokenised(docs, folder, id_col, text_col), "tokens")
-    histogram = np.zeros(window, dtype=np.int64)
-    for n, count in tokens.groupBy((F.col("n_tokens") % window).alias("rest")).count().collect():  # at most ``window`` rows
-        histogram[n] = count
-    parts = combinations(window)
-    share = solve(histogram, parts) / max(1, histogram[1:].sum())
-    used = share > 0
-    parts, share = parts[used], share[used]
+
+def _filled(meta: DataFrame, slots: Slots, window: int) -> DataFrame:
+    """Pieces of the rests (doc_id, n_tokens, rest_len, rest_crc, rank) below the quotas."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = batch.column(2).to_numpy().astype(np.int64), batch.column(4).to_numpy()
+            good = rank < slots.quota[length]
+            keep = batch.filter(pa.array(good))
+            sequence, offset = slots.find(length[good], rank[good])
+            total, length = keep.column(1).to_numpy(), length[good]
+            arrays = [keep.column(0), pa.array(total - length), pa.array(length), keep.column(3), pa.array(total), pa.array(sequence), pa.array(offset), pa.array(np.full(len(total), window))]
+            yield pa.RecordBatch.from_arrays([a.cast(pa.int64()) for a in arrays], names=[f.split()[0] for f in SCHEMA.split(", ")])
+
+    return meta.select("doc_id", "n_tokens", "rest_len", "rest_crc", "rank").mapInArrow(run, SCHEMA)
+
+
+def _residual(rows: DataFrame, window: int) -> DataFrame:
+    """Pieces of the rests (doc_id, n_tokens, rest) that no combination takes, packed where they are read."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(parts, share, TaskContext.get().partitionId(), window)
+        packer = EndToEnd(TaskContext.get().partitionId(), window)
 
         def emit() -> pa.RecordBatch:
-            cols = list(zip(*packer.finish(), strict=True)) or [[]] * len(names)
+            cols = list(zip(*packer.out, strict=True)) or [[]] * len(names)
+            packer.out = []
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
-                packer.add(doc.as_py(), np.frombuffer(ids.as_py(), dtype="<u4"))
-                if len(packer.rests) >= CHUNK or len(packer.out) >= 4 * CHUNK:
-                    yield emit()
+            for doc, total, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(rest, dtype="<u4")
+                packer.add(doc, total - len(ids), ids, total)
+            yield emit()
+        packer.finish()
         yield emit()
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "n_tokens", "rest").mapInArrow(run, SCHEMA)
+
+
+def pack(docs: DataFrame, folder: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
+
+    Null text counts as empty and gives the single id 0. Every row is packed,
+    also those with a null or repeated id. An empty table gives no pieces.
+    Columns besides id and text are not read.
+    """
+    if window & (window - 1):
+        raise ValueError("the window must be a power of two")
+    spark = docs.sparkSession
+    tokens = common.staged(tokenised(docs, folder, window, id_col, text_col), "tokens")
+    has_rest = tokens.where("rest_len > 0")
+    counts = common.staged(has_rest.groupBy("part", "rest_len").agg(F.count(F.lit(1)).alias("n")), "rest-counts")
+    histogram = np.zeros(window, dtype=np.int64)
+    for n, count in counts.groupBy("rest_len").agg(F.sum("n")).collect():  # fewer rows than the window is long
+        histogram[n] = count
+    parts = combinations(window)
+    slots = Slots(parts, rounded(solve(histogram, parts), parts, histogram), window)
+    # the rests of a length in an order of tasks that differs from length to length: what the quotas leave is spread over all tasks
+    order = [F.xxhash64("part", "rest_len"), F.col("part")]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("rest_len").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumn("base", before)
+    whole = tokens.where(F.size("crcs") > 0).select("doc_id", "n_tokens", "first_window", F.posexplode("crcs").alias("k", "crc"))
+    k, size = F.col("k").cast("long"), F.lit(window).cast("long")
+    whole = whole.select("doc_id", (k * window).alias("start"), size.alias("length"), F.col("crc").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), (F.col("first_window") + k).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), size.alias("sequence_length"))
+    meta = has_rest.select("doc_id", "n_tokens", "rest_len", "rest_crc", "part", "nth").join(ranked.select("part", "rest_len", "base"), ["part", "rest_len"])
+    filled = _filled(meta.withColumn("rank", F.col("base") + F.col("nth")), slots, window)
+    quotas = spark.createDataFrame([(n, int(q)) for n, q in enumerate(slots.quota.tolist())], "rest_len int, quota long")
+    # where in the order of its tasks a length's quota ends; no row for a length that is used up
+    ends = ranked.join(F.broadcast(quotas), "rest_len").where("base <= quota and quota < base + n")  # quotas: a row for each length below the window
+    ends = ends.select("rest_len", F.xxhash64("part", "rest_len").alias("end_order"), F.col("part").alias("end_part"), (F.col("quota") - F.col("base")).alias("end_nth"))
+    ends = spark.createDataFrame([tuple(r) for r in ends.collect()], "rest_len int, end_order long, end_part int, end_nth long")  # at most one row for each length
+    over = F.struct(F.xxhash64("part", "rest_len"), "part", "nth") >= F.struct("end_order", "end_part", "end_nth")
+    residual = has_rest.join(F.broadcast(ends), "rest_len").where(over)
+    return whole.union(filled).union(_residual(residual, window))
