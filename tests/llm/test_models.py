@@ -35,11 +35,50 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(lattice.log_likelihood(words, prob), [np.log(total(w)) for w in words])
 
 
-def test_fit_raises_likelihood():
-    lattice = language_id.Lattice.of(FILE)
-    words, counts = ["▁station", "▁nation", "▁einung"], np.array([[5.0, 0], [4, 0], [0, 9]])
-    scores = [(lattice.log_likelihood(words, lattice.fit(words, counts, r)) * counts).sum() for r in (1, 2, 4)]
-    assert scores == sorted(scores)
+def test_long_words_against_brute_force():
+    """Scaled and plain sums agree, over the whole vocabulary and a word of 10,000 letters."""
+    lattice = language_id.lattice(FILE)
+    rng = np.random.default_rng(3)
+    prob = np.vstack([rng.dirichlet(np.ones(len(lattice.pieces)), 2).T, np.zeros((1, 2))])
+    p = dict(zip(lattice.pieces, prob, strict=False))
+    text = "".join(rng.choice(list("station"), 10_000)) + "schlichkeit日本x"
+    for word in (text, text[:40], "internationalization", "½"):
+        logs, ratio = np.zeros((len(word) + 1, 2)), None
+        for j in range(1, len(word) + 1):
+            terms = [logs[j - s] + np.log(np.maximum(p.get(word[j - s : j], np.zeros(2)), 1e-9 if s == 1 else 1e-300)) for s in range(1, min(j, lattice.longest) + 1)]
+            ratio = np.max(terms, axis=0)
+            logs[j] = ratio + np.log(np.exp(np.array(terms) - ratio).sum(axis=0))
+        assert np.allclose(lattice.log_likelihood([word], prob)[0], logs[-1], rtol=1e-9)
+    assert lattice.longest > 12
+
+
+def test_fit_raises_likelihood(spark):
+    lattice = language_id.lattice(FILE)
+    words, counts = ["▁station", "▁nation", "▁einung" + "ung" * 30], [[5, 0], [4, 0], [0, 9]]
+    tally = spark.createDataFrame(list(zip(words, counts)), "word string, counts array<long>")
+    prob = np.full((len(lattice.pieces) + 1, 2), 1 / len(lattice.pieces))
+    prob[-1] = 0
+    scores = []
+    for _ in range(3):
+        prob = language_id._maximised(tally, prob, FILE)
+        scores.append((lattice.log_likelihood(words, prob) * np.array(counts)).sum())
+    assert scores == sorted(scores) and np.allclose(prob.sum(axis=0), 1)
+
+
+def test_letters_and_words_seen_once(spark):
+    assert language_id.words_of("½ ² Ⅷ ① 12 _ a1b") == ["▁a", "▁b"]
+    rows = [(2, "zug haltestelle", "de"), (3, "fenster gardine", "de"), (6, "railway carriage", "en"), (8, "window curtain", "en"), (10, "½ ² Ⅷ ①", "de"), (11, "haltestelle gardine", None), (12, "carriage window", None)]
+    rows = [(i + 1000 * next(k for k in range(99) if zlib.crc32(str(i + 1000 * k).encode()) % 3 != 1), t, lang) for i, t, lang in rows]
+    got = [(r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), FILE).orderBy("doc_id").collect()]
+    by_text = {t: g for (_, t, _), g in zip(sorted(rows), got, strict=True)}
+    assert by_text["½ ² Ⅷ ①"] == ("und", 0.0)
+    assert by_text["haltestelle gardine"][0] == "de" and by_text["carriage window"][0] == "en"
+
+
+def test_sample_is_bounded_and_equal_rows_count_once(spark):
+    rows = spark.createDataFrame([(None, "same text", "en")] * 500 + [(i, f"text {i}", "de") for i in range(300)], "doc_id long, text string, lang string")
+    got = language_id._sampled(rows, {"en": 1, "de": 300}, 50, 9).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got}["en"] == 1 and 30 <= {r["lang"]: r["count"] for r in got}["de"] <= 50
 
 
 def test_language_accuracy_on_held_out(spark):
