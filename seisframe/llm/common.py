@@ -140,7 +140,7 @@ class WordHashes(dict):
 
 def size_of(df: DataFrame) -> int:
     """Spark's estimate of a relation's bytes; exact file sizes for a table just written."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], dict], schema: str, order: str = "id") -> DataFrame:

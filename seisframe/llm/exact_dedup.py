@@ -1,120 +1,131 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-The index has one entry per distinct normalised text. A directory, doubled
-until no bucket holds more than ``capacity`` entries (or ``max_depth`` is
-reached), maps the leading bits of a 64-bit key to buckets; an owner task
-writes each contiguous range of buckets. Texts are told apart by their bytes
-when entries are made (grouping by key and text compares whole texts), so
-texts whose keys collide become a chain of entries under one key.
-
-Only DataFrame functions are used. Copies collapse on the map side before any
-shuffle, whatever their number; the lookup of documents is an equi-join whose
-hot keys adaptive execution can split.
+The directory maps the leading bits of a 64-bit key to buckets. It doubles
+until no bucket holds more than ``capacity`` keys: a level adds up to ``LEVEL``
+bits below the slots that are still too full, so it has as many levels as the
+keys need, up to all 64 bits, and is a table, whatever its size. Documents are
+routed through it to the task that owns their bucket, a range of keys. There
+rows of one key stand together, ordered by their bytes: each different text is
+a link of the key's chain, and rows are copies if they share a link.
+
+A key with very many rows, or very many bytes, would overload its owner. The
+rows of such keys are united by key and bytes before they move; the chain made
+of what is left is then joined back to the rows, again by bytes.
+
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries per bucket before it splits, and the deepest directory (2**16 slots, a bound on what the driver holds).
-CAPACITY, MAX_DEPTH = 4096, 16
-
-
-@dataclass(frozen=True)
-class Directory:
-    """``slots[i]`` is (bucket, local depth) of the keys whose first ``depth`` bits are i."""
-
-    depth: int
-    slots: list[tuple[int, int]]
-
-    @property
-    def buckets(self) -> int:
-        return len(set(self.slots))
-
-
-def grow(counts: dict[int, int], depth: int, capacity: int) -> Directory:
-    """Double the directory from one slot on until each bucket fits or has ``depth`` bits."""
-    level = {(0, 0): sum(counts.values())}
-    fine = [counts]
-    for _ in range(depth):
-        up: dict[int, int] = {}
-        for k, n in fine[-1].items():
-            up[k >> 1] = up.get(k >> 1, 0) + n
-        fine.append(up)
-    fine.reverse()  # fine[d]: entries by their first d bits
-    done: list[tuple[int, int]] = []
-    reached = 0
-    while level:
-        split = {}
-        for (prefix, bits), n in level.items():
-            if n > capacity and bits < depth:
-                for child in (2 * prefix, 2 * prefix + 1):
-                    split[child, bits + 1] = fine[bits + 1].get(child, 0)
-            else:
-                done.append((prefix, bits))
-                reached = max(reached, bits)
-        level = split
-    slots: list[tuple[int, int]] = [(0, 0)] * (1 << reached)
-    for prefix, bits in done:
-        first = prefix << (reached - bits)
-        for slot in range(first, first + (1 << (reached - bits))):
-            slots[slot] = (first, bits)
-    return Directory(reached, slots)
-
-
-def _slot(key: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - depth).cast("int") if depth else F.lit(0)
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Keys per bucket before it splits, and bits that one level of the directory adds at most.
+CAPACITY, LEVEL = 1024, 12
+#: Rows of one key, and bytes of texts, that its owner takes as they are.
+ROWS, BYTES = 256, 32 << 20
+#: Written tables up to this size are broadcast.
+SMALL = 8 << 20
+
+
+def prefix_of(key: Column, bits: int) -> Column:
+    """The first ``bits`` bits of a key."""
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def level_bits(most: int, capacity: int, used: int) -> int:
+    """How many bits a level adds for slots of up to ``most`` keys: two more than evenly dealt keys need."""
+    need = max(0, -(-most // capacity) - 1).bit_length()
+    return min(LEVEL, need + 2, 64 - used) if need else 0
+
+
+def grow(keys: DataFrame, total: int, capacity: int) -> list[tuple[int, DataFrame]]:
+    """Levels of the directory for distinct ``keys`` (key): (bits, slots); slots are (slot, bits).
+
+    ``slot`` has the first bits of a key; its own ``bits`` are those its bucket
+    goes by, null where the next level has to tell.
+    """
+    levels: list[tuple[int, DataFrame]] = []
+    low, most = 0, total
+    while most:
+        high = low + level_bits(most, capacity, low)
+        slots = keys.groupBy(prefix_of(F.col("key"), high).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        above = slots.select("slot", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {high} - depth)"))
+        sums = above.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
+        fits = above.join(sums, ["depth", "prefix"]).groupBy("slot").agg(F.min(F.when(F.col("held") <= capacity, F.col("depth"))).alias("bits"), F.first("n").alias("n"))
+        fits = common.staged(fits, "directory")
+        levels.append((high, fits.select("slot", "bits")))
+        full = fits.where("bits is null")
+        most = full.agg(F.max("n")).first()[0] or 0
+        if most:
+            keys = keys.join(full.select("slot"), prefix_of(F.col("key"), high) == F.col("slot"), "left_semi")
+            low = high
+    return levels
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if common.size_of(df) <= SMALL else df
+
+
+def routed(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``rows`` (key, ...) with their bucket (its first key) and local_depth, looked up in the directory."""
+    bits = []
+    for k, (high, slots) in enumerate(levels):
+        rows = rows.withColumn(f"__slot{k}", prefix_of(F.col("key"), high)).join(_sized(slots.toDF(f"__slot{k}", f"__bits{k}")), f"__slot{k}", "left")
+        bits.append(F.col(f"__bits{k}"))
+    rows = rows.withColumn("local_depth", F.coalesce(*bits, F.lit(0)))
+    shift = F.lit(64) - F.col("local_depth")
+    first = F.when(F.col("local_depth") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.call_function("shiftrightunsigned", "key", shift), shift))
+    return rows.withColumn("bucket", first).drop(*(f"__{x}{k}" for k in range(len(levels)) for x in ("slot", "bits")))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, key_of: Callable[[Column], Column]) -> DataFrame:
     norm = common.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, Directory]:
-    """Index entries (bucket, local_depth, key, chain, n_bytes, text_sha256, keep_id, group_size) and the directory."""
-    spark = docs.sparkSession
-    entries = (
-        _keyed(docs, id_col, text_col)
-        .groupBy("key", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.octet_length("norm").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    entries = common.staged(entries, "entries")
-    total = entries.count()
-    depth = min(max_depth, max(0, (max(total, 1) - 1) // capacity).bit_length() + 3) if total > capacity else 0
-    counts = {r[0]: r[1] for r in entries.groupBy(_slot(F.col("key"), depth).alias("slot")).count().collect()}  # at most 2**max_depth rows
-    directory = grow(counts, depth, capacity)
-    slots = spark.createDataFrame([(i, b, d) for i, (b, d) in enumerate(directory.slots)], "slot int, bucket int, local_depth int")
-    chain = Window.partitionBy("bucket", "key").orderBy("n_bytes", "text_sha256")
-    index = (
-        entries.withColumn("slot", _slot(F.col("key"), directory.depth))
-        .join(F.broadcast(slots), "slot")  # at most 2**max_depth rows
-        .repartitionByRange(max(1, min(directory.buckets, 4096)), "bucket")
-        .withColumn("chain", F.row_number().over(chain) - 1)
-        .select("bucket", "local_depth", "key", "chain", "n_bytes", "text_sha256", "keep_id", "group_size")
-    )
-    return common.staged(index, "extendible-index"), directory
-
-
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    return docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("key", key_of(F.col("norm")))
+
+
+def _chained() -> Column:
+    """The place of a text in its key's chain."""
+    return F.dense_rank().over(Window.partitionBy("bucket", "key").orderBy("norm")) - 1
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_of: Callable[[Column], Column] = F.xxhash64, rows: int = ROWS, size: int = BYTES) -> DataFrame:
+    """The index, a row per document: bucket, local_depth, key, chain, doc_id, n_bytes, text_sha256, keep_id, group_size."""
+    keyed = _keyed(docs, id_col, text_col, key_of)
+    keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("norm")).alias("width"))
+    keys = common.staged(keys, "keys")
+    levels = grow(keys.select("key"), keys.count(), capacity)
+    crowded = common.staged(keys.where((F.col("n") > rows) | ((F.col("n") > 1) & (F.col("n") * F.col("width") > size))).select("key", F.lit(True).alias("crowded")), "crowded-keys")
+    each = keyed.join(_sized(crowded), "key", "left")
+    own = Window.partitionBy("bucket", "key", "norm")
+    names = ["bucket", "local_depth", "key", "chain", "doc_id", F.octet_length("norm").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"]
+    # every bucket has one owner; the rows of a key stand in it ordered by their bytes
+    owned = routed(each.where("crowded is null"), levels).repartition("bucket")
+    owned = owned.withColumn("chain", _chained()).withColumns({"keep_id": F.max("doc_id").over(own), "group_size": F.count(F.lit(1)).over(own)})
+    owned = owned.select(*names)
+    if not crowded.isEmpty():
+        many = routed(each.where("crowded"), levels)
+        chains = many.groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        chains = common.staged(chains.withColumn("chain", _chained()), "crowded-chains")
+        owned = owned.union(many.drop("crowded").join(_sized(chains), ["bucket", "key", "norm"]).select(*names))
+    return common.staged(owned, "extendible-index")
+
+
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; options as of ``build_index``.
 
     Equal texts are those identical after lower-casing A-Z; null counts as
     empty. The row with the largest id of its group stays. Rows that repeat
     that id all stay; a null id stays only in a group without any other id.
     Other columns of ``docs`` are not read.
     """
-    index, _ = build_index(docs, id_col, text_col, capacity, max_depth)
-    looked_up = _keyed(docs, id_col, text_col).select("doc_id", "key", F.octet_length("norm").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"))
-    return looked_up.join(index.select("key", "n_bytes", "text_sha256", "keep_id", "group_size"), ["key", "n_bytes", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    index = build_index(docs, id_col, text_col, **options)
+    return index.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

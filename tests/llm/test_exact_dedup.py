@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from seisframe.llm import exact_dedup
 from seisframe.llm.common import LOWER, UPPER
 
@@ -15,24 +17,47 @@ def brute(rows):
 
 
 def test_matches_brute_force_with_splitting_buckets(docs, rows):
-    for capacity in (1, 4096):
-        got = exact_dedup.mark(docs, capacity=capacity, max_depth=6)
+    for options in ({"capacity": 1}, {"capacity": 4096}, {"capacity": 3, "rows": 2}, {"size": 1}):
+        got = exact_dedup.mark(docs, **options)
         assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
         assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
-def test_directory_doubles_until_buckets_fit():
-    counts = {0: 5, 1: 0, 2: 1, 3: 1, 7: 9}
-    directory = exact_dedup.grow(counts, 3, 5)
-    assert directory.depth == 3 and len(directory.slots) == 8
-    assert directory.slots[0] == directory.slots[1]  # a bucket that fits spans several slots
-    assert exact_dedup.grow({}, 4, 10) == exact_dedup.Directory(0, [(0, 0)])
-
-
-def test_equal_keys_form_a_chain(docs):
-    index, _ = exact_dedup.build_index(docs)
-    assert index.where("chain > 0").count() == 0
-    assert index.groupBy("bucket", "key", "chain").count().where("count > 1").count() == 0
+def top(bits):
+    """A key whose last ``bits`` bits alone differ."""
+    return lambda norm: F.shiftrightunsigned(F.xxhash64(norm), 64 - bits)
+
+
+def test_directory_doubles_until_buckets_fit(docs):
+    for key_of, capacity in ((F.xxhash64, 1), (F.xxhash64, 5), (top(9), 1), (top(7), 4)):
+        index = exact_dedup.build_index(docs, capacity=capacity, key_of=key_of)
+        got = index.select("bucket", "local_depth", "key").distinct().collect()
+        held, depth = {}, {}
+        for r in got:
+            assert r.local_depth == 0 or (r.key ^ r.bucket) & ((1 << 64) - 1) < 1 << (64 - r.local_depth)
+            held[r.bucket] = held.get(r.bucket, 0) + 1
+            depth[r.bucket] = r.local_depth
+        assert max(held.values()) <= capacity < len(got)
+        ranges = sorted((b & ((1 << 64) - 1), 1 << (64 - d)) for b, d in depth.items())
+        assert all(a + n <= b for (a, n), (b, _) in zip(ranges, ranges[1:]))  # buckets are disjoint ranges of keys
+    assert max(depth.values()) > 50  # keys that agree in their first 57 bits
+
+
+def test_colliding_keys_are_told_apart_by_bytes(docs, rows):
+    few = lambda norm: F.pmod(F.xxhash64(norm), F.lit(3))
+    for options in ({}, {"rows": 5}):
+        index = exact_dedup.build_index(docs, key_of=few, **options)
+        texts = len({r[4] for r in brute(rows)})
+        assert index.where("chain > 0").count() > 0
+        assert index.select("bucket", "key", "chain").distinct().count() == index.select("text_sha256").distinct().count() == texts
+        assert {tuple(r) for r in exact_dedup.mark(docs, key_of=few, **options).collect()} == brute(rows)
+
+
+def test_the_directory_decides(docs, rows, monkeypatch):
+    """A directory that sends rows of one key to different buckets gives other groups."""
+    right = exact_dedup.routed
+    monkeypatch.setattr(exact_dedup, "routed", lambda r, levels: right(r, levels).withColumn("bucket", F.col("bucket") + F.col("doc_id") % 2))
+    assert {tuple(r) for r in exact_dedup.mark(docs).collect()} != brute(rows)
 
 
 def test_null_and_repeated_ids(spark):
