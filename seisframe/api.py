@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import spec
+from . import codec, spec
 from .operators import geometry as g
 from .operators import headers as hd
 from .operators import sinks
@@ -15,9 +18,10 @@ from .sources import files, segy
 from .survey import Survey, guess
 
 __all__ = [
-    "NewSurvey", "Survey", "collect", "create", "create_by_sharing_header", "fromfile", "fromfile_by_guess", "fromfile_without_scan", "get_trace_keys", "guess",
-    "load_prestack3D", "load_unsorted3D", "meta_info", "modify_bin_key", "modify_trace_key", "read_header", "report", "scan_prestack", "scan_unsorted3D", "textual_header",
-    "tofile", "tofile_by_guess", "trace_count",
+    "MetaInfo", "NewSurvey", "Survey", "binary_header", "collect", "convert_trace", "create", "create_by_sharing_header", "create_by_sharing_header_guess", "fromfile", "fromfile_by_guess",
+    "fromfile_ignore_header", "fromfile_without_scan", "get_metaInfo", "get_trace_keys", "get_trace_keys2", "guess", "load_prestack3D", "load_unsorted3D", "meta_info", "modify_bin_key",
+    "modify_trace_key", "read_header", "report", "scan_4D", "scan_prestack", "scan_unsorted3D", "textual_header", "tofile", "tofile_by_guess", "tofile_ignore_header", "trace_count",
+    "trace_header", "trace_range", "trace_record",
 ]
 
 
@@ -43,7 +47,7 @@ def fromfile(spark: SparkSession, path: str, iline: int = 189, xline: int = 193,
 
 
 def fromfile_by_guess(spark: SparkSession, path: str) -> np.ndarray:
-    il, xl, istep, xstep, *_ = guess(path)[0]
+    il, xl, istep, xstep, *_ = guess(path, spark)[0]
     return fromfile(spark, path, il, xl, istep, xstep)
 
 
@@ -54,13 +58,44 @@ def fromfile_without_scan(spark: SparkSession, path: str, ni: int, nx: int, il_m
     return _array(vol.densify(segy.load(spark, path, iline=iline, xline=xline), geo, nt, strict=True), (ni, nx, nt))
 
 
-def collect(spark: SparkSession, path: str, beg: int = -1, end: int = 0, tbeg: int = -1, tend: int = 0) -> np.ndarray:
+def trace_range(spark: SparkSession, path: str, beg: int = -1, end: int = 0, tbeg: int = -1, tend: int = 0) -> DataFrame:
+    """A range of traces and of samples as a DataFrame; nothing else is read."""
     info = files.open_info(path)
     (a, b), (t0, t1) = vol.bounds(beg, end, info.trace_count), vol.bounds(tbeg, tend, info.nt)
-    rows = segy.load(spark, path, first=a, end=b, t0=t0, t1=t1)
+    return segy.load(spark, path, first=a, end=b, t0=t0, t1=t1)
+
+
+def collect(spark: SparkSession, path: str, beg: int = -1, end: int = 0, tbeg: int = -1, tend: int = 0) -> np.ndarray:
+    rows = trace_range(spark, path, beg, end, tbeg, tend)
     return np.stack(rows.orderBy("trace_idx").toPandas()["samples"].to_list())
 
 
+def set_size(path: str, nt: int, nx: int, ni: int) -> g.Geometry:
+    """The geometry of a file that is taken as ni x nx traces in file order, whatever its headers say."""
+    info = files.open_info(path)
+    if (nt, nx * ni) != (info.nt, info.trace_count):
+        raise ValueError(f"{ni} x {nx} traces of {nt} samples aren't the file's {info.trace_count} of {info.nt}")
+    return g.Geometry((g.Axis(0, ni - 1, 1), g.Axis(0, nx - 1, 1)), ni * nx, True, True)
+
+
+def volume_ignore_header(spark: SparkSession, path: str, ni: int, nx: int, nt: int) -> DataFrame:
+    """(iline_idx, xline_idx, samples) with cells numbered by the traces' places in the file."""
+    set_size(path, nt, nx, ni)
+    at = F.col("trace_idx")
+    return segy.load(spark, path).select(F.floor(at / nx).cast("int").alias("iline_idx"), (at % nx).cast("int").alias("xline_idx"), "samples")
+
+
+def fromfile_ignore_header(spark: SparkSession, path: str, ni: int, nx: int, nt: int, format: int = 5) -> np.ndarray:
+    """The volume (ni, nx, nt) in file order; ``format`` is the file's own, whatever is given."""
+    return _array(volume_ignore_header(spark, path, ni, nx, nt), (ni, nx, nt))
+
+
+def tofile_ignore_header(spark: SparkSession, path: str, out: str, nt: int, nx: int, ni: int, format: int = 5) -> None:
+    """A raw volume of all traces in file order; ``format`` is the file's own, whatever is given."""
+    set_size(path, nt, nx, ni)
+    sinks.tofile(segy.load(spark, path), out, nt, None, ni * nx)
+
+
 def get_trace_keys(spark: SparkSession, path: str, keyloc, beg: int = -1, end: int = 0, force: int | None = None) -> np.ndarray:
     """Values of one or more header locations, in file order; opaque locations give zeros."""
     locs = [keyloc] if np.isscalar(keyloc) else list(keyloc)
@@ -71,6 +106,10 @@ def get_trace_keys(spark: SparkSession, path: str, keyloc, beg: int = -1, end: i
     return np.squeeze(rows[[f"key{k}" for k in range(len(locs))]].to_numpy())
 
 
+#: The same; both names are known to users.
+get_trace_keys2 = get_trace_keys
+
+
 def scan_unsorted3D(spark: SparkSession, path: str, iline: int, xline: int) -> dict:
     return g.scan(segy.load(spark, path, "keys", iline=iline, xline=xline)).as_dict()
 
@@ -95,7 +134,7 @@ def tofile(spark: SparkSession, path: str, out: str, iline: int = 189, xline: in
 
 
 def tofile_by_guess(spark: SparkSession, path: str, out: str) -> None:
-    il, xl, istep, xstep, *_ = guess(path)[0]
+    il, xl, istep, xstep, *_ = guess(path, spark)[0]
     tofile(spark, path, out, il, xl, istep, xstep)
 
 
@@ -121,6 +160,92 @@ def create_by_sharing_header(spark: SparkSession, out: str, donor: str, data: np
     return sinks.share_header(spark, donor, out, _source(spark, data, shape), shape, geo, offset, custom, iline=iline, xline=xline)
 
 
+def create_by_sharing_header_guess(spark: SparkSession, out: str, donor: str, data: np.ndarray | str, shape: tuple[int, int, int] | None = None, offset=None, custom: list[str] | None = None) -> int:
+    """``create_by_sharing_header`` with the first guessed key locations that fit."""
+    if isinstance(data, str) and shape is None:
+        raise ValueError("a raw volume needs its shape")
+    failed: Exception | None = None
+    for il, xl, istep, xstep, *_ in guess(donor, spark):
+        try:
+            return create_by_sharing_header(spark, out, donor, data, shape, il, xl, istep, xstep, offset, custom)
+        except ValueError as e:  # the shape doesn't fit this geometry
+            failed = e
+    raise ValueError("no guessed key locations fit; give them") from failed
+
+
+def scan_4D(*_args, **_options) -> None:
+    raise NotImplementedError("use scan_prestack")
+
+
+def _record(path: str, n: int, first: int, size: int) -> bytes:
+    info = files.open_info(path)
+    if not 0 <= n < info.trace_count:
+        raise IndexError(f"trace {n} is outside 0..{info.trace_count}")
+    return files.read_at(path, spec.PREAMBLE + n * info.record + first, size)
+
+
+def binary_header(path: str, raw: bool = False) -> bytes:
+    """The 400 bytes of the binary header, integers in this machine's byte order unless raw."""
+    data = files.read_at(path, spec.TEXT_BYTES, spec.BINARY_BYTES)
+    return data if raw else codec.swapped(data, spec.BINARY)
+
+
+def trace_header(path: str, n: int, raw: bool = False) -> bytes:
+    """The 240 bytes of trace n's header, integers in this machine's byte order unless raw."""
+    data = _record(path, n, 0, spec.TRACE_BYTES)
+    return data if raw else codec.swapped(data, spec.TRACE)
+
+
+def trace_record(path: str, n: int, raw: bool = False) -> bytes:
+    """Header and samples of trace n; unless raw, as ``trace_header`` and float32 in this machine's byte order."""
+    info = files.open_info(path)
+    if raw:
+        return _record(path, n, 0, info.record)
+    samples = _record(path, n, spec.TRACE_BYTES, info.record - spec.TRACE_BYTES)
+    return trace_header(path, n) + convert_trace(samples, info.format).tobytes()
+
+
+def convert_trace(data: bytes | np.ndarray, format: int = 1) -> np.ndarray:
+    """float32 samples from the bytes of a trace."""
+    return codec.decode_samples(np.frombuffer(bytes(data), dtype=np.uint8)[None], format)[0]
+
+
+@dataclass
+class MetaInfo:
+    """A file's sizes, ranges, intervals and sampling; fields may be changed."""
+
+    nt: int
+    nx: int
+    ni: int
+    trace_count: int
+    dt: int
+    dtype: str
+    scalar: float
+    i_interval: float | None
+    x_interval: float | None
+    start_time: int
+    min_iline: int
+    max_iline: int
+    min_xline: int
+    max_xline: int
+    isnormal: bool
+    istep: int
+    xstep: int
+    sorting: str
+    stack: str
+
+    def as_dict(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+
+def get_metaInfo(spark: SparkSession, path: str, iline: int = 189, xline: int = 193, istep: int | None = None, xstep: int | None = None, xloc: int = 73, yloc: int = 77, scaled: bool = True) -> MetaInfo:
+    """What ``meta_info`` reports, intervals in metres (times the coordinate scalar) if ``scaled``."""
+    meta = MetaInfo(**meta_info(segy.load(spark, path, "keys", iline=iline, xline=xline, xloc=xloc, yloc=yloc), path, istep, xstep))
+    if scaled and meta.i_interval is not None:
+        meta.i_interval, meta.x_interval = meta.i_interval * meta.scalar, meta.x_interval * meta.scalar
+    return meta
+
+
 def trace_count(path: str) -> int:
     return files.open_info(path).trace_count
 
@@ -131,6 +256,4 @@ def format_label(path: str) -> str:
 
 def header_lines(path: str, kind: str = "bh", n: int = 0) -> list[str]:
     """A header as printed lines."""
-    from . import codec
-
     return codec.header_lines(hd.read_header(path, kind, n), spec.BINARY if kind == "bh" else spec.TRACE)

@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     read.add_argument("-p", "--print-textual", action="store_true")
     read.add_argument("-m", "--meta", action="store_true")
     read.add_argument("--ignore-header", action="store_true", help="traces in file order, without a geometry")
+    read.add_argument("-d", "--dims", nargs=3, type=int, metavar=("NI", "NX", "NT"), help="with --ignore-header: the sizes that the traces must have")
     create = sub.add_parser("create", help="make a file from a raw volume")
     create.add_argument("-i", "--input", required=True)
     create.add_argument("-o", "--output", required=True)
@@ -57,7 +58,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if a.meta:
             keys = segy.load(spark, a.input, "keys", iline=a.iline, xline=a.xline, xloc=a.xloc, yloc=a.yloc)
             print(api.report(api.meta_info(keys, a.input, a.istep, a.xstep)))
-        if a.output:
+        if a.output and a.ignore_header and a.dims:
+            ni, nx, nt = a.dims
+            api.tofile_ignore_header(spark, a.input, a.output, nt, nx, ni)
+        elif a.output:
             Survey(spark, a.input, a.iline, a.xline, a.istep, a.xstep, a.xloc, a.yloc, as_2d=a.ignore_header, fill=a.fill).tofile(a.output)
     elif a.share:
         api.create_by_sharing_header(spark, a.output, a.header, a.input, tuple(a.dims), a.iline, a.xline, a.istep, a.xstep)

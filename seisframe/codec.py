@@ -120,3 +120,14 @@ def header_dict(raw: bytes, table: tuple[spec.Field, ...]) -> dict[int, tuple[st
             kind = np.dtype(f.numpy)
             out[f.loc] = (f.description, np.ascontiguousarray(row[:, f.loc - 1 : f.loc - 1 + kind.itemsize]).view(kind)[0, 0].item())
     return out
+
+
+def swapped(raw: bytes, table: tuple[spec.Field, ...]) -> bytes:
+    """One header with every numeric field in this machine's byte order."""
+    out = bytearray(raw)
+    for f in table:
+        if not f.opaque:
+            kind = np.dtype(f.numpy)
+            at = f.loc - 1
+            out[at : at + kind.itemsize] = np.frombuffer(raw[at : at + kind.itemsize], dtype=kind).astype(kind.newbyteorder("=")).tobytes()
+    return bytes(out)

@@ -30,6 +30,8 @@ class Geometry:
     trace_count: int
     #: every cell has exactly one trace
     regular: bool
+    #: regular, and traces stand in the order of cells
+    in_order: bool = False
 
     @property
     def shape(self) -> tuple[int, ...]:
@@ -40,31 +42,42 @@ class Geometry:
         return {"shape": list(self.shape), "trace_count": self.trace_count, "regular": self.regular} | {n: asdict(a) for n, a in zip(names, self.axes)}
 
 
-def key_axis(keys: DataFrame, column: str) -> DataFrame:
-    """One row (low, high, step): step is the smallest gap of the sorted distinct keys (1 for a single key)."""
-    distinct = keys.select(F.col(column).cast("long").alias("k")).where("k is not null").distinct()
-    # one task orders the distinct keys: as many as the survey has lines, not traces
-    gaps = distinct.withColumn("gap", F.col("k") - F.lag("k").over(Window.orderBy("k")))
-    return gaps.agg(F.min("k").alias("low"), F.max("k").alias("high"), F.coalesce(F.min("gap"), F.lit(1)).alias("step"))
+def key_axes(keys: DataFrame, columns: tuple[str, ...], chunk: int = 1 << 16) -> DataFrame:
+    """One row (axis, low, high, step) for each column that has a key, in one pass; step is the smallest gap of the sorted distinct keys (1 for a single key).
+
+    Gaps are found inside ranges of ``chunk`` numbers, and between the ends of
+    neighbouring ranges, so no task orders all keys of an axis.
+    """
+    each = keys.select(F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).cast("long").alias("k")) for c in columns))).alias("x"))
+    distinct = each.select("x.*").where("k is not null").distinct().withColumn("chunk", F.floor(F.col("k") / chunk))
+    inside = distinct.withColumn("gap", F.col("k") - F.lag("k").over(Window.partitionBy("axis", "chunk").orderBy("k")))
+    chunks = inside.groupBy("axis", "chunk").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.min("gap").alias("gap"))
+    between = F.col("low") - F.lag("high").over(Window.partitionBy("axis").orderBy("chunk"))  # a row a chunk
+    gaps = chunks.withColumn("gap", F.least("gap", between))
+    return gaps.groupBy("axis").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.coalesce(F.min("gap"), F.lit(1)).alias("step"))
 
 
 def scan(keys: DataFrame, columns: tuple[str, ...] = ("iline", "xline"), steps: tuple[int | None, ...] | None = None) -> Geometry:
     """Geometry of any survey, sorted or not. A step that isn't given is inferred; keys off the grid raise."""
     steps = steps or (None,) * len(columns)
-    rows = {c: key_axis(keys, c).first() for c in columns}  # one row each
-    axes = []
-    for c, step in zip(columns, steps, strict=True):
-        row = rows[c]
-        if row["low"] is None:
-            raise ValueError("no traces")
-        axes.append(Axis(int(row["low"]), int(row["high"]), int(step or row["step"])))
+    if any(s is not None and s < 1 for s in steps):
+        raise ValueError("steps must be positive")
+    rows = {r["axis"]: r for r in key_axes(keys, columns).collect()}  # one row each
+    if len(rows) < len(columns):
+        raise ValueError("no traces")
+    axes = [Axis(int(rows[c]["low"]), int(rows[c]["high"]), int(step or rows[c]["step"])) for c, step in zip(columns, steps, strict=True)]
+    number = F.max("trace_idx") if "trace_idx" in keys.columns else F.lit(None).cast("long")
+    cells = keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), number.alias("number"))
+    place = F.lit(0).cast("long")
+    for c, a in zip(columns, axes, strict=True):
+        place = place * a.size + F.floor((F.col(c) - a.low) / a.step)
     off = [F.max(((F.col(c) - a.low) % a.step != 0).cast("int")).alias(f"off_{c}") for c, a in zip(columns, axes, strict=True)]
-    facts = keys.agg(F.count(F.lit(1)).alias("n"), *off).first()
+    facts = cells.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"), F.min(F.coalesce(F.col("number") == place, F.lit(False))).alias("in_order"), *off).first()
     for c in columns:
         if facts[f"off_{c}"]:
             raise ValueError(f"some {c} isn't on the grid of its step")
-    cells = keys.select(*columns).distinct().count()
-    return Geometry(tuple(axes), facts["n"], facts["n"] == cells == math.prod(a.size for a in axes))
+    regular = facts["n"] == facts["cells"] == math.prod(a.size for a in axes)
+    return Geometry(tuple(axes), facts["n"], regular, regular and facts["in_order"])
 
 
 def line_index(keys: DataFrame, istep: int) -> DataFrame:

@@ -40,31 +40,21 @@ def field_range(loc: int, size: int = 2) -> str:
 
 
 def textual_lines(il: tuple[int, int, int], xl: tuple[int, int, int], nt: int, shape: tuple[int, int], dt: int, code: int, intervals: tuple[float, float], start_time: int, custom: list[str] | None = None, locations: tuple[int, int, int, int] = (189, 193, 73, 77)) -> list[str]:
-    """The 40 rows: up to 12 of the caller's, then ranges and locations. il and xl are (first, last, step)."""
-    top = [str(c) for c in (custom or ["Created by seisframe", "", "", "", "Type: 3D seismic"])][:12]
+    """The 40 rows: up to 12 of the caller's, then what the file holds and where. il and xl are (first, last, step)."""
+    top = [str(c) for c in (custom or ["Written by seisframe", "Three-dimensional seismic volume"])][:12]
     rows = top + [""] * (12 - len(top))
     rows += [
-        f"Inline range:    {il[0]} - {il[1]}",
-        f"Crossline range: {xl[0]} - {xl[1]}",
-        f"Inline step: {il[2]}, Crossline step: {xl[2]}",
-        f"shape: (n-time, n-crossline, n-inline) = ({nt}, {shape[1]}, {shape[0]})",
-        f"Number of samples per data trace: {nt}",
-        f"Sample interval: {dt}",
-        f"Data sample format: {spec.FORMAT_LABELS.get(code, 'Unknown')}",
-        f"interval of inline: {intervals[0]:.6g} meters, interval of crossline: {intervals[1]:.6g} meters",
-        f"Time start: {start_time}",
-        "", "", "",
-        "Binary header locations:",
-        f"Sample interval             : bytes {field_range(17)}",
-        f"Number of samples per trace : bytes {field_range(21)}",
-        f"Data sample format code     : bytes {field_range(25)}",
-        "", "",
-        "Trace header locations:",
-        *(f"{name:<28}: bytes {field_range(loc, 4)}" for name, loc in zip(("Inline number", "Crossline number", "X coordinate", "Y coordinate"), locations)),
-        f"Trace start time/depth      : bytes {field_range(spec.START_TIME)}",
-        f"Number of samples per trace : bytes {field_range(spec.SAMPLE_COUNT)}",
-        f"Sample interval             : bytes {field_range(spec.SAMPLE_INTERVAL)}",
-    ]
+        f"Inlines {il[0]} to {il[1]}, every {il[2]}",
+        f"Crosslines {xl[0]} to {xl[1]}, every {xl[2]}",
+        f"Grid: {shape[0]} inlines x {shape[1]} crosslines x {nt} samples",
+        f"Samples are {spec.FORMAT_LABELS.get(code, 'of an unknown format')}, {dt} microseconds apart",
+        f"The first sample is at {start_time} milliseconds",
+        f"Spacing on the map: inlines {intervals[0]:.6g} m, crosslines {intervals[1]:.6g} m",
+        "",
+        f"Binary header: interval {field_range(17)}, samples {field_range(21)}, format {field_range(25)}",
+        *(f"Trace header: {name} in bytes {field_range(loc, 4)}" for name, loc in zip(("inline", "crossline", "x", "y"), locations)),
+        f"Trace header: start time {field_range(spec.START_TIME)}, samples {field_range(spec.SAMPLE_COUNT)}, interval {field_range(spec.SAMPLE_INTERVAL)}",
+    ]
     rows += [""] * (spec.ROWS - len(rows))
     return [f"C{k:02d} {row[:76]:<76}" for k, row in enumerate(rows, 1)]
 

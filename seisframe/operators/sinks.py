@@ -13,7 +13,10 @@ from .. import codec, spec
 from ..sources import files, segy
 from . import headers as hd
 from .geometry import Geometry
-from .volume import densify, indexed
+from .volume import densify, indexed, range_filter
+
+#: So many (trace number, rank) pairs are broadcast at most: 16 MB.
+BROADCAST = 1_000_000
 
 
 def _write(rows: DataFrame, path: str, preamble: bytes, nt: int, code: int, count: int) -> None:
@@ -53,6 +56,17 @@ def renumbered(rows: DataFrame, chunk: int = 100_000) -> DataFrame:
     return rows.drop("__chunk").join(ranks, "trace_idx").withColumn("trace_idx", F.col("__new")).drop("__new")
 
 
+def _ranked(keys: DataFrame, spark: SparkSession) -> tuple[DataFrame, int]:
+    """(trace_idx, rank) of the chosen traces and their number; few enough ranks are broadcast, so that samples stay where they are read."""
+    ranks = renumbered(keys.select("trace_idx", F.col("trace_idx").alias("was"))).select(F.col("was").alias("trace_idx"), F.col("trace_idx").alias("rank"))
+    count = keys.count()
+    return (F.broadcast(ranks) if count <= BROADCAST else ranks), count
+
+
+def _inside(rows: DataFrame, il: tuple[int, int], xl: tuple[int, int]) -> DataFrame:
+    return rows.where(range_filter("iline_idx", il) & range_filter("xline_idx", xl))
+
+
 def _repatched(rows: DataFrame, nt: int | None, shift: int) -> DataFrame:
     """Patch the sample count, and the start time by ``shift`` milliseconds."""
 
@@ -92,11 +106,13 @@ def cut(spark: SparkSession, path: str, out: str, geo: Geometry, il: tuple[int,
     for (a, b), n in ((il, geo.shape[0]), (xl, geo.shape[1]), (tm, info.nt)):
         if not 0 <= a < b <= n:
             raise IndexError(f"range {a}..{b} is outside 0..{n}")
-    rows = indexed(segy.load(spark, path, "traces", t0=tm[0], t1=tm[1], **options), geo)
-    rows = rows.where((F.col("iline_idx") >= il[0]) & (F.col("iline_idx") < il[1]) & (F.col("xline_idx") >= xl[0]) & (F.col("xline_idx") < xl[1]))
-    count = rows.count()
+    keys = _inside(indexed(segy.load(spark, path, "keys", **options), geo), il, xl)
+    ends = keys.agg(F.min("trace_idx").alias("a"), F.max("trace_idx").alias("b")).first()  # one row
+    ranks, count = _ranked(keys, spark)
+    rows = segy.load(spark, path, "traces", t0=tm[0], t1=tm[1], first=ends["a"] or 0, end=0 if ends["b"] is None else ends["b"] + 1, **options)
+    rows = rows.select("trace_idx", "raw_header", "samples").join(ranks, "trace_idx").withColumn("trace_idx", F.col("rank"))
     nt = None if whole else tm[1] - tm[0]
-    new = _repatched(renumbered(rows.select("trace_idx", "raw_header", "samples")), nt, tm[0] * info.dt // 1000)
+    new = _repatched(rows, nt, tm[0] * info.dt // 1000)
     _write(new, out, _preamble(path, nt, _lines(info, geo, il, xl, tm, custom)), tm[1] - tm[0], info.format, count)
     return count
 
@@ -112,13 +128,15 @@ def share_header(spark: SparkSession, donor: str, out: str, volume: DataFrame, s
         raise ValueError("the shape must be the donor's; give an offset for a part")
     if any(a < 0 or a + n > m for a, n, m in zip(o, shape, (*geo.shape[:2], info.nt), strict=True)):
         raise ValueError("the volume reaches beyond the donor")
-    heads = indexed(segy.load(spark, donor, "headers", **options).select("trace_idx", "iline", "xline", "raw_header"), geo)
+    inside = (o[0], o[0] + shape[0]), (o[1], o[1] + shape[1])
     moved = volume.select((F.col("iline_idx") + o[0]).alias("iline_idx"), (F.col("xline_idx") + o[1]).alias("xline_idx"), F.col("samples").cast("array<float>").alias("samples"))
-    rows = heads.join(moved, ["iline_idx", "xline_idx"]).select("trace_idx", "raw_header", "samples")
-    count = heads.join(moved.select("iline_idx", "xline_idx"), ["iline_idx", "xline_idx"], "left_semi").count()
+    keys = _inside(indexed(segy.load(spark, donor, "keys", **options).select("trace_idx", "iline", "xline"), geo), *inside)
+    ranks, count = _ranked(keys.join(moved.select("iline_idx", "xline_idx"), ["iline_idx", "xline_idx"], "left_semi"), spark)
+    heads = _inside(indexed(segy.load(spark, donor, "headers", **options).select("trace_idx", "iline", "xline", "raw_header"), geo), *inside)
+    rows = heads.join(ranks, "trace_idx").join(moved, ["iline_idx", "xline_idx"]).select(F.col("rank").alias("trace_idx"), "raw_header", "samples")
     nt = shape[2] if shape[2] != info.nt else None
     lines = None if offset is None else _lines(info, geo, (o[0], o[0] + shape[0]), (o[1], o[1] + shape[1]), (o[2], o[2] + shape[2]), custom)
-    _write(_repatched(renumbered(rows), nt, o[2] * info.dt // 1000), out, _preamble(donor, nt, lines), shape[2], info.format, count)
+    _write(_repatched(rows, nt, o[2] * info.dt // 1000), out, _preamble(donor, nt, lines), shape[2], info.format, count)
     return count
 
 

@@ -139,3 +139,13 @@ def region_outline(index: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return going.union(back).withColumn("seq", (F.row_number().over(Window.orderBy("side", "by")) - 1).cast("int")).select("seq", "line_num", "xline")
+
+
+def region_outline_xy(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """(seq, x, y): map coordinates of the line starts going up, then of the line ends coming down."""
+    from pyspark.sql import Window
+
+    there = index.where("count > 0")
+    ends = there.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("line_num").alias("by"), F.col("trace_start").alias("trace_idx")), F.struct(F.lit(1).alias("side"), (-F.col("line_num")).alias("by"), F.col("trace_end").alias("trace_idx")))).alias("o")).select("o.*")
+    at = ends.join(keys.select("trace_idx", F.col("x_coord").alias("x"), F.col("y_coord").alias("y")), "trace_idx")
+    return at.withColumn("seq", (F.row_number().over(Window.orderBy("side", "by")) - 1).cast("int")).select("seq", "x", "y")  # two rows a line

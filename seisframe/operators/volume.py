@@ -156,28 +156,39 @@ def normalise_key(key, shape: tuple[int, ...]) -> list[tuple[int, int] | list[in
     return out
 
 
-def fancy(traces: DataFrame, geometry: Geometry, nt: int, key, fill: float = 0.0) -> DataFrame:
+def _chosen(rows: DataFrame, index: str, own: tuple[int, int] | list[int]) -> DataFrame:
+    return rows.where(range_filter(index, own) if isinstance(own, tuple) else F.col(index).isin(sorted(set(own))))
+
+
+def fancy(traces: DataFrame, geometry: Geometry, nt: int, key, fill: float = 0.0, t0: int = 0) -> DataFrame:
     """Cells of an orthogonal subscript with their samples: index lists cross; the time axis may be a list too.
 
     Columns: pos_i, pos_x (places in the result), the grid indexes, samples.
+    ``traces`` may be any part of the survey that has the cells, with samples
+    from ``t0`` on. Traces of a regular survey are neither shuffled nor
+    compared; else of those in one cell the last counts, among the cells asked for.
     """
     spark = traces.sparkSession
     il, xl, tm = normalise_key(key, (*geometry.shape[:2], nt))
-
-    def places(own, name: str, pos: str) -> DataFrame:
-        values = list(range(*own)) if isinstance(own, tuple) else own
-        return spark.createDataFrame(list(enumerate(values)), f"{pos} int, {name} int")
-
-    # subscripts come from the caller; their lists are as long as the axes at most, so the small sides are bounded
-    rows, columns = places(il, "iline_idx", "pos_i"), places(xl, "xline_idx", "pos_x")
-    placed = last_wins(indexed(traces, geometry), INDEX[:2])
-    chosen = placed.join(F.broadcast(rows.select("iline_idx").distinct()), "iline_idx").join(F.broadcast(columns.select("xline_idx").distinct()), "xline_idx")
-    cells = rows.join(F.broadcast(columns))
-    at = F.slice("samples", tm[0] + 1, tm[1] - tm[0]) if isinstance(tm, tuple) else F.array(*(F.element_at("samples", i + 1) for i in tm))
+    at = F.slice("samples", tm[0] - t0 + 1, tm[1] - tm[0]) if isinstance(tm, tuple) else F.array(*(F.element_at("samples", i - t0 + 1) for i in tm))
     size = tm[1] - tm[0] if isinstance(tm, tuple) else len(tm)
-    return cells.join(chosen.select("iline_idx", "xline_idx", at.alias("samples")), ["iline_idx", "xline_idx"], "left").select(
-        "pos_i", "pos_x", "iline_idx", "xline_idx", F.coalesce("samples", F.array_repeat(F.lit(fill).cast("float"), size)).alias("samples")
-    )
+    found = _chosen(_chosen(indexed(traces, geometry), INDEX[0], il), INDEX[1], xl)
+    if not geometry.regular:
+        found = last_wins(found, INDEX[:2])
+    found = found.select(*INDEX[:2], at.alias("samples"))
+
+    def places(rows: DataFrame, own, name: str, pos: str) -> DataFrame:
+        if isinstance(own, tuple):
+            return rows.withColumn(pos, F.col(name) - own[0])
+        # a list comes from the caller; a place for each of its entries
+        return rows.join(F.broadcast(spark.createDataFrame(list(enumerate(own)), f"{pos} int, {name} int")), name)
+
+    names = ["pos_i", "pos_x", *INDEX[:2]]
+    if geometry.regular:
+        return places(places(found, il, INDEX[0], "pos_i"), xl, INDEX[1], "pos_x").select(*names, "samples")
+    whole = {n: own if isinstance(own, tuple) else (min(own, default=0), max(own, default=-1) + 1) for n, own in zip(INDEX, (il, xl))}
+    cells = places(places(grid(spark, Geometry(geometry.axes[:2], 0, False), whole), il, INDEX[0], "pos_i"), xl, INDEX[1], "pos_x")
+    return cells.join(found, list(INDEX[:2]), "left").select(*names, F.coalesce("samples", F.array_repeat(F.lit(fill).cast("float"), size)).alias("samples"))
 
 
 def range_filter(column: str, own: tuple[int, int]) -> Column:

@@ -12,13 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import codec, spec
+from .. import api, codec, spec
 from ..operators import geometry as g
 from ..operators import headers as hd
 from ..operators import sinks, spatial
 from ..operators import volume as vol
 from ..sources import segy
-from ..survey import Survey, guess
+from ..survey import Survey, candidates, guess, steps
 from .workspace import new_path
 
 NT = 64
@@ -108,11 +108,14 @@ def keys_li(spark, d):
     )
 
 
+def numbered(cells: DataFrame, geo: g.Geometry) -> DataFrame:
+    """Cells with the line numbers of their indexes."""
+    return cells.withColumns({k: (F.col(i) * a.step + a.low).cast("int") for i, k, a in zip(vol.INDEX, vol.KEYS, geo.axes)})
+
+
 def volume_rows(volume: DataFrame, geo: g.Geometry, start: int = 0) -> DataFrame:
     """(iline, xline[, offset], k, value) of a volume."""
-    names = vol.KEYS[: len(geo.axes)]
-    keyed = volume.select(*((F.col(i) * a.step + a.low).cast("int").alias(k) for i, k, a in zip(vol.INDEX, names, geo.axes)), "samples")
-    return vol.exploded(keyed, names, start)
+    return vol.exploded(numbered(volume, geo), vol.KEYS[: len(geo.axes)], start)
 
 
 def written(spark: SparkSession, rows: DataFrame, name: str = "survey.sgy", code: int = 5, **options) -> str:
@@ -199,7 +202,7 @@ def xline_slice(spark, d):
 def time_slice(spark, d):
     rows = tr_irr(spark, d)
     geo = g.scan(rows)
-    return vol.time_slice(rows, geo, 7).select((F.col("iline_idx") * 2 + 100).alias("iline"), (F.col("xline_idx") * 3 + 1000).alias("xline"), F.col("value").cast("double").alias("value"))
+    return numbered(vol.time_slice(rows, geo, 7), geo).select("iline", "xline", F.col("value").cast("double").alias("value"))
 
 
 @query("SELECT iline, xline, k, CAST(samples[k + 1] AS DOUBLE) AS value FROM tr, ks WHERE il_i = 4 AND xl_i = 9")
@@ -218,7 +221,7 @@ def fancy_index_3d(spark, d):
     rows = tr(spark, d)
     geo = g.scan(rows)
     got = vol.fancy(rows, geo, NT, ([5, 1, 5], [7, 2], [63, 0, 30]))
-    return vol.exploded(got.select("pos_i", "pos_x", (F.col("iline_idx") * 2 + 100).alias("iline"), (F.col("xline_idx") * 3 + 1000).alias("xline"), "samples"), ["pos_i", "pos_x", "iline", "xline"])
+    return vol.exploded(numbered(got, geo), ["pos_i", "pos_x", "iline", "xline"])
 
 
 # ---- placing on the grid ----
@@ -274,7 +277,7 @@ def missing_traces(spark, d):
     rows = tr_irr(spark, d)
     geo = g.scan(rows)
     cells = vol.grid(spark, geo).join(vol.indexed(rows.drop("samples"), geo), ["iline_idx", "xline_idx"], "left_anti")
-    return cells.select((F.col("iline_idx") * 2 + 100).alias("iline"), (F.col("xline_idx") * 3 + 1000).alias("xline"))
+    return numbered(cells, geo).select("iline", "xline")
 
 
 @query("SELECT CAST(i AS INT) AS iline_idx, CAST(x AS INT) AS xline_idx, trace_idx FROM (SELECT unnest(generate_series(0, (SELECT max(il_i) FROM tr_irr))) AS i), (SELECT unnest(generate_series(0, 24)) AS x) LEFT JOIN tr_irr ON il_i = i AND xl_i = x")
@@ -294,9 +297,8 @@ def map_to_index(spark, d):
 
 
 def _collected(spark, d, *bounds) -> DataFrame:
-    rows = tr(spark, d)
     t0 = bounds[2] if len(bounds) > 2 and bounds[2] > 0 else 0
-    return vol.exploded(vol.collect(segy.load(spark, written(spark, rows)), rows.count(), NT, *bounds), ["trace_idx"], t0)
+    return vol.exploded(api.trace_range(spark, written(spark, tr(spark, d)), *bounds), ["trace_idx"], t0)
 
 
 _RANGE = "SELECT trace_idx, k, CAST(samples[k + 1] AS DOUBLE) AS value FROM tr, ks"
@@ -390,7 +392,11 @@ def is_regular(spark, d):
     return spark.createDataFrame(rows, "survey string, regular boolean")
 
 
-@query("SELECT round(sqrt(25.0 * 25 + 7 * 7), 6) AS x_interval, round(sqrt(25.0 * 25 + 7 * 7), 6) AS i_interval FROM tr LIMIT 1")
+_MOVE = "avg(sqrt(pow(CAST({0} - {1} AS DOUBLE), 2) + pow(CAST({2} - {3} AS DOUBLE), 2)))"
+
+
+@query(f"""SELECT round({_MOVE.format("b.x_coord", "a.x_coord", "b.y_coord", "a.y_coord")}, 6) AS x_interval, round({_MOVE.format("c.x_coord", "a.x_coord", "c.y_coord", "a.y_coord")}, 6) AS i_interval
+FROM tr a JOIN tr b ON a.iline = b.iline AND a.xl_i + 1 = b.xl_i JOIN tr c ON a.xline = c.xline AND a.il_i + 1 = c.il_i""")
 def intervals_xy(spark, d):
     rows = tr(spark, d)
     got = g.intervals(g.line_index(rows, 2), rows, 2, 3)
@@ -416,9 +422,38 @@ def monotonic_violations_off(spark, d):
     return g.violations(keys_li(spark, d), "offset")
 
 
-@query("SELECT CAST(189 AS INT) AS iline, CAST(193 AS INT) AS xline, CAST(2 AS INT) AS istep, CAST(3 AS INT) AS xstep, CAST(181 AS INT) AS xloc, CAST(185 AS INT) AS yloc FROM tr LIMIT 1")
+_STEP = "(SELECT min(gap) FROM (SELECT k - lag(k) OVER (ORDER BY k) AS gap FROM (SELECT DISTINCT {} AS k FROM tr)))"
+
+
+@query(f"""SELECT CAST(il AS INT) AS iline, CAST(xl AS INT) AS xline, CAST({_STEP.format("iline")} AS INT) AS istep, CAST({_STEP.format("xline")} AS INT) AS xstep, CAST(181 AS INT) AS xloc, CAST(185 AS INT) AS yloc
+FROM (VALUES (189), (5), (9)) a(il), (VALUES (193), (17), (21)) b(xl) WHERE il <> xl""")
 def guess_keys(spark, d):
-    return spark.createDataFrame([guess(written(spark, tr(spark, d)))[0]], "iline int, xline int, istep int, xstep int, xloc int, yloc int")
+    """All pairs of locations whose geometry can be scanned; the writer puts line numbers at three places each."""
+    return spark.createDataFrame(guess(written(spark, tr(spark, d)), spark), "iline int, xline int, istep int, xstep int, xloc int, yloc int")
+
+
+# what a header location holds in a file that ``written`` makes: inlines, crosslines, the trace number at 1, 0 elsewhere
+_PROBED = """v AS (SELECT trace_idx AS t, CAST(CASE WHEN loc IN (189, 5, 9) THEN iline WHEN loc IN (193, 17, 21) THEN xline ELSE 0 END AS INT) AS v, loc FROM tr, (SELECT unnest([193, 17, 21, 13, 189, 5, 9, 221]) AS loc)),
+n AS (SELECT count(*) AS n FROM tr),
+ends AS (SELECT loc, max(v) FILTER (t = 0) AS a, max(v) FILTER (t = n // 2) AS m, max(v) FILTER (t = n - 1) AS z, any_value(n) AS n FROM v, n GROUP BY loc),
+mid AS (SELECT loc, min(v) AS low, count(*) AS k, count(*) FILTER (v = p) AS same FROM (SELECT loc, t, v, lag(v) OVER (PARTITION BY loc ORDER BY t) AS p FROM v, n WHERE t >= n // 2 AND t < n // 2 + 10) GROUP BY loc)"""
+
+
+@query(f"SELECT * FROM (WITH {_PROBED} SELECT CAST(loc AS INT) AS loc FROM ends JOIN mid USING (loc) WHERE loc IN (193, 17, 21, 13) AND z - a <= n // 2 AND k = 10 AND low >= 0 AND same <= 1) WHERE loc IN (SELECT 193 FROM tr UNION SELECT loc)")
+def eval_xline_rules(spark, d):
+    return spark.createDataFrame([(x,) for x in candidates(written(spark, tr(spark, d)))[1]], "loc int")
+
+
+@query(f"SELECT * FROM (WITH {_PROBED} SELECT CAST(loc AS INT) AS loc FROM ends WHERE loc IN (189, 5, 9, 221) AND least(a, m, z) >= 0 AND a <> m AND m <> z AND a <> z AND greatest(a, m, z) - least(a, m, z) <= least(n // 10 - 1, 100000) AND m > least(a, z) AND m < greatest(a, z))")
+def eval_iline_rules(spark, d):
+    return spark.createDataFrame([(i,) for i in candidates(written(spark, tr(spark, d)))[0]], "loc int")
+
+
+@query(f"""SELECT CAST(loc AS INT) AS loc, CAST(step AS INT) AS step FROM (SELECT unnest([189, 5, 9]) AS loc, {_STEP.format("iline")} AS step UNION ALL SELECT unnest([193, 17, 21]), {_STEP.format("xline")} FROM tr LIMIT 6)""")
+def guess_step(spark, d):
+    path = written(spark, tr(spark, d))
+    il, xl = steps(path, *candidates(path))
+    return spark.createDataFrame([*il.items(), *xl.items()], "loc int, step int")
 
 
 @query("SELECT min(v) AS low, max(v) AS high FROM (SELECT CAST(unnest(samples) AS DOUBLE) AS v FROM tr)")
@@ -468,12 +503,13 @@ def modify_bin_key(spark, d):
     return segy.load(spark, path, "binary").select(F.col("trace_length").alias("nt"), F.col("sample_interval").alias("dt"), F.col("jobID").alias("job"))
 
 
-@query("SELECT CAST(n AS INT) AS line_no, rpad(t, 80, ' ') AS text FROM (VALUES (1, 'C01 Area: North (A|B)'), (2, 'C02 x=1; y=2'), (3, 'C03'), (13, 'C13 Inline range:    1 - 4'), (14, 'C14 Crossline range: 1 - 25')) a(n, t)")
+@query("""SELECT CAST(n AS INT) AS line_no, rpad(t, 80, ' ') AS text FROM (SELECT max(il_i) + 1 AS ni, max(xl_i) + 1 AS nx FROM tr), LATERAL (VALUES (1, 'C01 Area: North (A|B)'), (2, 'C02 x=1; y=2'), (3, 'C03'),
+(13, 'C13 Inlines 1 to ' || ni || ', every 1'), (14, 'C14 Crosslines 1 to ' || nx || ', every 1'), (15, 'C15 Grid: ' || ni || ' inlines x ' || nx || ' crosslines x 64 samples')) a(n, t)""")
 def textual_lines(spark, d):
     path = new_path(spark, "new.sgy")
-    rows = tr(spark, d).where("il_i < 4").select(F.col("il_i").alias("iline_idx"), F.col("xl_i").alias("xline_idx"), "samples")
-    sinks.create(rows, path, hd.NewSurvey(4, 25, NT), ["Area: North (A|B)", "x=1; y=2"])
-    return segy.load(spark, path, "textual").where("line_no in (1, 2, 3, 13, 14)")
+    rows = tr(spark, d).select(F.col("il_i").alias("iline_idx"), F.col("xl_i").alias("xline_idx"), "samples")
+    sinks.create(rows, path, hd.NewSurvey(rows.count() // 25, 25, NT), ["Area: North (A|B)", "x=1; y=2"])
+    return segy.load(spark, path, "textual").where("line_no in (1, 2, 3, 13, 14, 15)")
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '[^-A-Za-z0-9 .<(+|&!$*);/,%_>?`:#@''=\"~{}\\\\]', ' ', 'g') AS text FROM part")
@@ -557,7 +593,12 @@ def tofile_2d(spark, d):
 # ---- map coordinates and interpolation ----
 
 
-@query("SELECT 12.5::DOUBLE AS a, round(7.0::DOUBLE / 3, 6) AS b, -3.5::DOUBLE AS d, round(25.0::DOUBLE / 3, 6) AS e FROM tr LIMIT 1")
+_MOMENTS = """SELECT covar_pop(iline, iline) AS ii, covar_pop(xline, xline) AS jj, covar_pop(iline, xline) AS ij, covar_pop(iline, x_coord) AS iu, covar_pop(xline, x_coord) AS ju,
+covar_pop(iline, y_coord) AS iv, covar_pop(xline, y_coord) AS jv FROM tr"""
+_FIT = f"SELECT (iu * jj - ju * ij) / (ii * jj - ij * ij) AS a, (ju * ii - iu * ij) / (ii * jj - ij * ij) AS b, (iv * jj - jv * ij) / (ii * jj - ij * ij) AS d, (jv * ii - iv * ij) / (ii * jj - ij * ij) AS e FROM ({_MOMENTS})"
+
+
+@query(f"SELECT round(a, 6) AS a, round(b, 6) AS b, round(d, 6) AS d, round(e, 6) AS e FROM ({_FIT})")
 def affine_fit(spark, d):
     t = spatial.fit_affine(tr(spark, d))
     return spark.createDataFrame([tuple(round(v, 6) for v in (t.a, t.b, t.d, t.e))], "a double, b double, d double, e double")
@@ -576,7 +617,7 @@ def xy_to_ix(spark, d):
     return got.withColumns({c: F.col(c) + 0.0 for c in "ij"})
 
 
-@query("SELECT round(-20.77 / sqrt(20.77 * 20.77 + 111.28 * 111.28), 6) AS i, round(111.28 / sqrt(20.77 * 20.77 + 111.28 * 111.28), 6) AS j FROM tr LIMIT 1")
+@query(f"SELECT round(i / sqrt(i * i + j * j), 6) AS i, round(j / sqrt(i * i + j * j), 6) AS j FROM (SELECT round(-1000 * b / (a * e - b * d), 2) AS i, round(1000 * a / (a * e - b * d), 2) AS j FROM ({_FIT}))")
 def north(spark, d):
     i, j = spatial.north(spatial.fit_affine(tr(spark, d)))
     return spark.createDataFrame([(round(i, 6), round(j, 6))], "i double, j double")
@@ -623,7 +664,7 @@ def region_outline(spark, d):
 
 @query("SELECT trace_idx, iline, xline FROM tr WHERE trace_idx >= 20 AND trace_idx < 90")
 def trace_key_series(spark, d):
-    return segy.load(spark, written(spark, tr(spark, d)), "keys").where("trace_idx >= 20 and trace_idx < 90").select("trace_idx", "iline", "xline")
+    return Survey(spark, written(spark, tr(spark, d)), spec.ILINE, spec.XLINE).key_series(beg=20, end=90)
 
 
 @query("""SELECT CAST(64 AS BIGINT) AS nt, CAST(25 AS BIGINT) AS nx, CAST(max(il_i) + 1 AS BIGINT) AS ni, count(*) AS trace_count, '>4f-ieee' AS dtype, CAST(min(iline) AS BIGINT) AS min_iline, CAST(max(iline) AS BIGINT) AS max_iline,
@@ -635,6 +676,52 @@ def meta_report(spark, d):
     return spark.createDataFrame([(*(m[n] for n in names), round(m["x_interval"], 4))], "nt bigint, nx bigint, ni bigint, trace_count bigint, dtype string, min_iline bigint, max_iline bigint, min_xline bigint, max_xline bigint, isnormal boolean, stack string, x_interval double")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY side, place) - 1 AS INT) AS seq, x, y FROM (SELECT 0 AS side, il_i AS place, x_coord AS x, y_coord AS y FROM tr WHERE xl_i = 0 UNION ALL SELECT 1, -il_i, x_coord, y_coord FROM tr WHERE xl_i = 24)")
+def region_outline_xy(spark, d):
+    return Survey(spark, written(spark, tr(spark, d)), spec.ILINE, spec.XLINE).outline("xy")
+
+
+@query("SELECT trace_idx, iline, xline, \"offset\" FROM pre WHERE trace_idx < 60")
+def trace_key_panel(spark, d):
+    return Survey(spark, written(spark, pre(spark, d).withColumns({"x_coord": F.lit(0), "y_coord": F.lit(0)})), spec.ILINE, spec.XLINE).key_series(("iline", "xline", "offset"), 0, 60)
+
+
+@query("SELECT CAST(p AS INT) AS pos, trace_idx, k, CAST(samples[k + 1] AS DOUBLE) AS value FROM (VALUES (0, 3, 24), (1, 0, 0), (2, 3, 24), (3, 19, 7)) a(p, i, x) JOIN tr ON il_i = i AND xl_i = x, ks")
+def read_traces_grid(spark, d):
+    own = Survey(spark, written(spark, tr(spark, d)), spec.ILINE, spec.XLINE)
+    return vol.exploded(own.read_traces([(3, 24), (0, 0), (3, 24), (19, 7)]), ["pos", "trace_idx"])
+
+
+@query("SELECT CAST(trace_idx // 50 AS INT) AS iline_idx, CAST(trace_idx % 50 AS INT) AS xline_idx, k, CAST(samples[k + 1] AS DOUBLE) AS value FROM tr, ks")
+def ignore_header(spark, d):
+    path = written(spark, tr(spark, d))
+    return vol.exploded(api.volume_ignore_header(spark, path, api.trace_count(path) // 50, 50, NT), ["iline_idx", "xline_idx"])
+
+
+@query("SELECT iline, xline, CAST(-1 AS DOUBLE) AS first, CAST(64 AS INT) AS n FROM tr")
+def share_header_guess(spark, d):
+    rows = tr(spark, d)
+    path, out = written(spark, rows), new_path(spark, "shared.sgy")
+    geo = Survey(spark, path, spec.ILINE, spec.XLINE).geometry
+    raw = new_path(spark, "volume.dat")
+    sinks.tofile(rows.withColumn("samples", F.array_repeat(F.lit(-1.0).cast("float"), NT)), raw, NT, geo)
+    api.create_by_sharing_header_guess(spark, out, path, raw, (*geo.shape, NT))
+    return segy.load(spark, out).select("iline", "xline", F.element_at("samples", 1).cast("double").alias("first"), F.size("samples").alias("n"))
+
+
+@query("SELECT CAST(il_i - 2 AS INT) AS pos_i, CAST(0 AS INT) AS pos_x, CAST(il_i AS INT) AS iline_idx, CAST(xl_i AS INT) AS xline_idx, k, CAST(6 + k * 2.0 AS DOUBLE) AS time, CAST(samples[k + 1] AS DOUBLE) AS value FROM tr, ks WHERE il_i BETWEEN 2 AND 4 AND xl_i = 11 AND k >= 50")
+def time_axis(spark, d):
+    own = Survey(spark, written(spark, tr(spark, d), start_time=6), spec.ILINE, spec.XLINE)
+    return own.timed((slice(2, 5), 11, slice(50, None))).select("pos_i", "pos_x", "iline_idx", "xline_idx", "k", "time", "value")
+
+
+@query("SELECT CAST(i AS INT) AS iline_idx, CAST(x AS INT) AS xline_idx, k, coalesce(CAST(samples[k + 1] AS DOUBLE), -7.5) AS value FROM (SELECT unnest(generate_series(0, (SELECT max(il_i) FROM tr_irr))) AS i), (SELECT unnest(generate_series(0, 24)) AS x) CROSS JOIN ks LEFT JOIN tr_irr ON il_i = i AND xl_i = x")
+def densify_fill(spark, d):
+    rows = sinks.renumbered(tr_irr(spark, d))
+    own = Survey(spark, written(spark, rows), spec.ILINE, spec.XLINE, fill=-7.5)
+    return vol.exploded(own[...], ["iline_idx", "xline_idx"])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Write a survey, read it back, find its geometry and cut an inline out of it."""
     return inline_slice(spark, d)

@@ -3,12 +3,13 @@
     spark.read.format("segy").option("mode", "traces").load(path)
 
 Modes: ``traces`` (keys, raw header, samples), ``headers`` (keys, raw header,
-decoded header), ``keys`` (keys only; sample bytes are never decoded),
-``binary`` (the binary header, one row) and ``textual`` (40 rows). The options
-``first``, ``end`` and ``index`` choose records before a task is planned, ``t0``
-and ``t1`` samples before they are decoded. They are options and not pushed
-filters, as Spark keeps what one query pushed into a Python source for the next
-query over the same DataFrame.
+decoded header), ``keys`` (keys only), ``binary`` (the binary header, one row)
+and ``textual`` (40 rows). The options ``first``, ``end``, ``index`` and
+``lines`` (first record, records of a line, distance of lines, number of lines)
+choose records before a task is planned, ``t0`` and ``t1`` samples. Of long
+records only the bytes that the mode and these options need are read. They are
+options and not pushed filters, as Spark keeps what one query pushed into a
+Python source for the next query over the same DataFrame.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .. import spec
 
 #: Bytes of records for an input partition, and for an Arrow batch.
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+#: Records are read in parts if that skips at least so many bytes of each.
+SKIP = 4096
 
 
 def _keys(options: dict) -> list[tuple[str, int, int]]:
@@ -58,7 +61,7 @@ def _header_arrays(headers, table):
     for f in table:
         raw = np.ascontiguousarray(headers[:, f.loc - 1 : f.loc - 1 + f.size])
         if f.opaque:
-            out.append(pa.array([r.tobytes() for r in raw], type=pa.binary()))
+            out.append(binary_rows(raw))
         else:
             values = raw.view(f.numpy)[:, 0]
             out.append(pa.array(values.astype(values.dtype.newbyteorder("=") if f.code != 1 else np.int16)))
@@ -67,10 +70,46 @@ def _header_arrays(headers, table):
 
 @dataclass
 class Span(InputPartition):
-    """Records first..last of a file."""
+    """Records first..last of a file, and as many again ``stride`` records on, ``lines`` times altogether."""
 
     first: int
     last: int
+    stride: int = 0
+    lines: int = 1
+
+
+def read_records(f, record: int, parts: list[tuple[int, int]], first: int, n: int):
+    """Bytes (n, ...) of the parts (start, end) of n records; the gaps between parts are not read if they are long."""
+    import numpy as np
+
+    if record - sum(b - a for a, b in parts) < SKIP:
+        rows = np.frombuffer(f.read_at(n * record, spec.PREAMBLE + first * record), dtype=np.uint8).reshape(n, record)
+        return np.concatenate([rows[:, a:b] for a, b in parts], axis=1) if len(parts) > 1 else rows[:, parts[0][0] : parts[0][1]]
+    at = range(spec.PREAMBLE + first * record, spec.PREAMBLE + (first + n) * record, record)
+    return np.frombuffer(b"".join(f.read_at(b - a, k + a) for k in at for a, b in parts), dtype=np.uint8).reshape(n, -1)
+
+
+def binary_rows(rows):
+    """An Arrow array of equally long byte rows, without a Python object for each."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, size = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def write_records(fd: int, index, rows, record: int, base: int) -> None:
+    """Write byte rows at their records, a run of neighbours at once."""
+    import numpy as np
+
+    order = np.argsort(index, kind="stable")
+    index, rows = index[order], np.ascontiguousarray(rows[order])
+    cuts = [0, *(np.flatnonzero(np.diff(index) != 1) + 1).tolist(), len(index)]
+    for a, b in zip(cuts, cuts[1:]):
+        data, at = memoryview(rows[a:b]).cast("B"), base + int(index[a]) * record
+        while len(data):
+            done = os.pwrite(fd, data, at)
+            data, at = data[done:], at + done
 
 
 def _schema_of(options: dict) -> str:
@@ -112,13 +151,24 @@ class SegyReader(DataSourceReader):
         self.info = open_info(options["path"])
         n = self.info.trace_count
         self.first, self.end = max(0, int(options.get("first", 0))), min(n, int(options.get("end", n)))
-        index = options.get("index")
+        index, lines = options.get("index"), options.get("lines")
         self.exact = None if index is None else {int(i) for i in index.split(",") if i}
+        self.lines = None if lines is None else tuple(map(int, lines.split(",")))
+        if self.lines:
+            at, count, stride, number = self.lines
+            if at < 0 or min(count, number) < 1 or stride < count or at + (number - 1) * stride + count > n:
+                raise ValueError(f"lines {lines} are outside the file")
 
     def partitions(self) -> list[Span]:
         if self.mode in ("textual", "binary"):
             return [Span(0, 0)]
         per = max(1, int(self.options.get("partition_bytes", PARTITION_BYTES)) // self.info.record)
+        if self.lines:
+            at, count, stride, number = self.lines
+            if count >= per:
+                return [Span(k, min(k + per, end) - 1) for line in range(number) for end in [at + line * stride + count] for k in range(end - count, end, per)]
+            some = max(1, per // count)
+            return [Span(at + k * stride, at + k * stride + count - 1, stride, min(some, number - k)) for k in range(0, number, some)]
         if self.exact is not None:
             inside = sorted(i for i in self.exact if self.first <= i < self.end)
             runs: list[Span] = []
@@ -127,8 +177,8 @@ class SegyReader(DataSourceReader):
                     runs[-1].last = i
                 else:
                     runs.append(Span(i, i))
-            return runs
-        return [Span(a, min(a + per, self.end) - 1) for a in range(self.first, self.end, per)]
+            return runs or [Span(0, -1)]
+        return [Span(a, min(a + per, self.end) - 1) for a in range(self.first, self.end, per)] or [Span(0, -1)]
 
     def read(self, partition: Span):
         import numpy as np
@@ -148,33 +198,59 @@ class SegyReader(DataSourceReader):
                 arrays = _header_arrays(np.frombuffer(raw, dtype=np.uint8)[None], spec.BINARY)
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([raw], type=pa.binary())], names=[*(x.name for x in spec.BINARY), "raw_header"])
                 return
-            keys, record = _keys(self.options), self.info.record
-            per = max(1, BATCH_BYTES // record)
             t0, t1 = int(self.options.get("t0", 0)), int(self.options.get("t1", self.info.nt))
             if not 0 <= t0 < t1 <= self.info.nt and self.info.nt:
                 raise ValueError(f"time range {t0}..{t1} is outside 0..{self.info.nt}")
-            size = self.info.esize
-            for a in range(partition.first, partition.last + 1, per):
-                n = min(per, partition.last + 1 - a)
-                rows = np.frombuffer(f.read_at(n * record, spec.PREAMBLE + a * record), dtype=np.uint8).reshape(n, record)
-                headers = rows[:, : spec.TRACE_BYTES]
-                arrays, names = [pa.array(np.arange(a, a + n))], ["trace_idx"]
-                for name, loc, code in keys:
-                    values = codec.field(headers, loc, code)
-                    arrays.append(pa.array(values.astype(np.int16 if code == 1 else values.dtype.newbyteorder("="))))
-                    names.append(name)
-                if self.mode != "keys":
-                    arrays.append(pa.array([h.tobytes() for h in headers], type=pa.binary()))
-                    names.append("raw_header")
-                if self.mode == "headers":
-                    arrays.append(pa.StructArray.from_arrays(_header_arrays(headers, spec.TRACE), names=[x.name for x in spec.TRACE]))
-                    names.append("hdr")
-                if self.mode == "traces":
-                    raw = rows[:, spec.TRACE_BYTES + t0 * size : spec.TRACE_BYTES + t1 * size]
-                    values = codec.decode_samples(raw, self.info.format, self.options.get("ibm", "round"))
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (t1 - t0)), pa.array(values.ravel())))
-                    names.append("samples")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            size, parts = self.info.esize, [(0, spec.TRACE_BYTES)]
+            if self.mode == "traces":
+                parts.append((spec.TRACE_BYTES + t0 * size, spec.TRACE_BYTES + t1 * size))
+            if len(parts) > 1 and parts[1][0] == spec.TRACE_BYTES:
+                parts = [(0, parts[1][1])]
+            for index, rows in self._rows(f, partition, parts):
+                yield self._batch(index, rows, t1 - t0)
+
+    def _rows(self, f, partition: Span, parts: list[tuple[int, int]]):
+        """(record numbers, bytes of their parts), about a batch at a time."""
+        import numpy as np
+
+        record = self.info.record
+        per = max(1, BATCH_BYTES // sum(b - a for a, b in parts))
+        index, rows, held = [], [], 0
+        for line in range(partition.lines):
+            first, last = partition.first + line * partition.stride, partition.last + line * partition.stride
+            for a in range(first, last + 1, per):
+                n = min(per, last + 1 - a)
+                index.append(np.arange(a, a + n))
+                rows.append(read_records(f, record, parts, a, n))
+                held += n
+                if held >= per:
+                    yield np.concatenate(index), np.concatenate(rows)
+                    index, rows, held = [], [], 0
+        if held:
+            yield np.concatenate(index), np.concatenate(rows)
+
+    def _batch(self, index, rows, nt: int):
+        import numpy as np
+        import pyarrow as pa
+
+        from .. import codec
+
+        headers, arrays, names = rows[:, : spec.TRACE_BYTES], [pa.array(index)], ["trace_idx"]
+        for name, loc, code in _keys(self.options):
+            values = codec.field(headers, loc, code)
+            arrays.append(pa.array(values.astype(np.int16 if code == 1 else values.dtype.newbyteorder("="))))
+            names.append(name)
+        if self.mode != "keys":
+            arrays.append(binary_rows(headers))
+            names.append("raw_header")
+        if self.mode == "headers":
+            arrays.append(pa.StructArray.from_arrays(_header_arrays(headers, spec.TRACE), names=[x.name for x in spec.TRACE]))
+            names.append("hdr")
+        if self.mode == "traces":
+            values = codec.decode_samples(np.ascontiguousarray(rows[:, spec.TRACE_BYTES :]), self.info.format, self.options.get("ibm", "round"))
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1, dtype=np.int32) * nt), pa.array(values.ravel())))
+            names.append("samples")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 @dataclass
@@ -241,8 +317,7 @@ class SegyWriter(_InPlaceWriter):
                 headers = np.frombuffer(b"".join(batch.column(at("raw_header")).to_pylist()), dtype=np.uint8).reshape(-1, spec.TRACE_BYTES)
                 values = batch.column(at("samples")).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(index), self.nt)
                 rows = np.concatenate([headers, codec.encode_samples(values, self.code)], axis=1)
-                for i, row in zip(index.tolist(), rows, strict=True):
-                    os.pwrite(f.fileno(), row.tobytes(), spec.PREAMBLE + i * self.record)
+                write_records(f.fileno(), index, rows, self.record, spec.PREAMBLE)
                 done += len(index)
         return Written(done)
 
@@ -318,8 +393,7 @@ class RawVolumeWriter(_InPlaceWriter):
                 at = batch.schema.get_field_index
                 cell = batch.column(at("iline_idx")).to_numpy().astype(np.int64) * self.nx + batch.column(at("xline_idx")).to_numpy()
                 values = batch.column(at("samples")).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(cell), self.nt)
-                for i, row in zip(cell.tolist(), values, strict=True):
-                    os.pwrite(f.fileno(), row.tobytes(), 4 * i * self.nt)
+                write_records(f.fileno(), cell, values, 4 * self.nt, 0)
                 done += len(cell)
         return Written(done)
 

@@ -177,7 +177,7 @@ def test_create_guess_and_cli(spark, tmp_path, capsys):
     path = str(tmp_path / "c.sgy")
     api.create(spark, path, data, custom=["mine"], dt=4000, min_iline=5)
     assert (api.fromfile(spark, path) == data).all() and (api.fromfile_by_guess(spark, path) == data).all()
-    assert guess(path)[0][:4] == (189, 193, 1, 1)
+    assert guess(path, spark)[0][:4] == (189, 193, 1, 1)
     assert api.textual_header(path)[0].startswith("C01 mine") and os.path.getsize(path) == 3600 + 600 * (240 + 4 * NT)
     raw = str(tmp_path / "c.dat")
     assert cli.main(["read", "-i", path, "-o", raw, "-m", "-p"], spark) == 0
