@@ -39,8 +39,8 @@ SHORT_EMPTY = np.uint16(0xFFFF)
 MEETING = 1024
 #: Documents of one block, and central members that stand for each of a block's largest components.
 BLOCK, HUBS, LARGEST = 512, 8, 3
-#: An estimate below the threshold by so many standard errors refutes a pair.
-ERRORS = 6.0
+#: An estimate below the threshold by so many standard errors refutes a pair; one at the threshold is refuted with a chance of 3e-7.
+ERRORS = 5.0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
 
@@ -124,13 +124,13 @@ def chance_collisions(n: np.ndarray, m: np.ndarray, registers: int, mantissa: in
 
 
 def estimate(one: np.ndarray, n: np.ndarray, other: np.ndarray, m: int, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
-    """(Jaccard estimates, their standard errors at most) of sketches ``one`` (rows) with the sketch ``other``."""
+    """(Jaccard estimates, 1 / sqrt(registers used)) of sketches ``one`` (rows) with the sketch ``other``."""
     nothing = EMPTY if mantissa == MANTISSA else SHORT_EMPTY
     full = (one != nothing) | (other != nothing)
     both = full.sum(axis=1)
     equal = ((one == other) & full).sum(axis=1)
     chance = chance_collisions(n, np.full(len(n), m), one.shape[1], mantissa)
-    return (equal - chance) / np.maximum(both, 1), 0.5 / np.sqrt(np.maximum(both, 1))
+    return (equal - chance) / np.maximum(both, 1), 1 / np.sqrt(np.maximum(both, 1))
 
 
 def likely(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,8 @@ def likely(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percen
     if not len(others):
         return others, np.empty(0)
     j, error = estimate(sketch[others], n[others], sketch[i], int(n[i]), mantissa)
-    good = j >= percent / 100 - ERRORS * error
+    least = percent / 100
+    good = j >= least - ERRORS * np.sqrt(least * (1 - least)) * error  # the standard error of a pair at the threshold
     return others[good], j[good]
 
 
@@ -276,16 +277,44 @@ def _meet(met: DataFrame, percent: int) -> DataFrame:
     return common.map_groups(met, ["band"], run, "a long, b long")
 
 
-def _outside(members: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links of documents outside their cluster's main component with all blocks of the cluster: (a, b)."""
+def _asked(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(cluster, block, id, label): documents outside their cluster's main component, with the blocks where sketches leave a partner of another component."""
     known = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     counts = known.groupBy("cluster", "label").count()
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most"))
     main = main.withColumn("parts", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")).where("parts > 0").select("cluster", "main", "parts")
-    rows = known.join(main, "cluster")
+    rows = known.join(main, "cluster").join(sketches, "id")
     part = F.pmod(F.xxhash64("id", F.lit(3)), "parts").cast("int")
     queries = rows.where("label <> main").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     stock = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = ["cluster", "block", "part", "id", "label", "n_shingles", "sketch"]
+    dealt = queries.select(*names, F.lit(True).alias("query")).union(stock.select(*names, F.lit(False)))
+
+    def run(group: dict[str, list]) -> dict:
+        n, label, query = (np.array(group[k]) for k in ("n_shingles", "label", "query"))
+        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint16).reshape(len(n), -1)
+        stock = np.flatnonzero(~query)
+        hit = [int(q) for q in np.flatnonzero(query) if len(likely(sketch, n, int(q), stock[label[stock] != label[q]], percent, SHORT)[0])]
+        return {k: [group[k][q] for q in hit] for k in ("cluster", "block", "id", "label")}
+
+    return map_groups_of(dealt, run, "cluster long, block int, id long, label long")
+
+
+def map_groups_of(dealt: DataFrame, run, schema: str) -> DataFrame:
+    return common.map_groups(dealt, ["cluster", "block", "part"], run, schema)
+
+
+def _outside(members: DataFrame, labels: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of documents outside their cluster's main component with other components.
+
+    Sketches choose the blocks that a document is compared with; only then are
+    texts dealt, those of the chosen documents and blocks.
+    """
+    asked = common.staged(_asked(members.drop("text"), labels, sketches, percent), "asked")
+    parts = asked.groupBy("cluster", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    queries = asked.join(members.select("id", "text"), "id").join(parts, ["cluster", "block"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), "parts").cast("int"))
+    stock = labelled.join(parts, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     names = ["cluster", "block", "part", "id", "label", "text"]
     dealt = queries.select(*names, F.lit(True).alias("query")).union(stock.select(*names, F.lit(False)))
 
@@ -296,7 +325,7 @@ def _outside(members: DataFrame, labels: DataFrame, size: int, percent: int) ->
         return {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
     hashes = common.WordHashes()
-    return common.map_groups(dealt, ["cluster", "block", "part"], run, "a long, b long")
+    return map_groups_of(dealt, run, "a long, b long")
 
 
 def _sha256(text_col: str) -> Column:
@@ -340,7 +369,7 @@ def _marked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
             links = links.union(level.where("id <> root").select("id", "root"))
             seed += 1
         so_far = connected_components(links, "so-far")
-        links = links.union(common.staged(_outside(several, so_far, size, percent), "outside"))
+        links = links.union(common.staged(_outside(several, so_far, found.select("id", "n_shingles", "sketch"), size, percent), "outside"))
     labels = connected_components(links, "near-duplicates")
     least = labels.join(firsts.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = labels.join(least, "component").select("id", "component_id")

@@ -84,6 +84,33 @@ def test_null_and_repeated_ids_link_nothing(spark):
 def test_components_of_a_long_chain(spark):
     order = [(k * 37) % 101 for k in range(101)]
     edges = spark.createDataFrame([*zip(order, order[1:]), (500, 501), (None, 3)], "a long, b long")
-    for local in (0, 1000):
-        got = {r.id: r.component for r in connected_components(edges, local=local).collect()}
-        assert got == dict.fromkeys(range(101), 0) | {500: 500, 501: 500}
+    got = {r.id: r.component for r in connected_components(edges).collect()}
+    assert got == dict.fromkeys(range(101), 0) | {500: 500, 501: 500}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity is just at or above 0.85 are all found, those just below are not linked."""
+    rng = np.random.default_rng(2)
+    rows, linked = [], {}
+    for k in range(400):
+        words = [f"p{k}w{j}" for j in range(242)]  # 240 shingles; a change at one place alters three of them
+        changed = 6 if k % 2 else 7
+        other = list(words)
+        for at in rng.choice(np.arange(3, 236, 4), changed, replace=False):
+            other[at] += "x"
+        common_ = 240 - 3 * changed
+        linked[2 * k + 1] = 100 * common_ >= 85 * (480 - common_)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert 0 < sum(linked.values()) < 400
+    got = {r.doc_id: r.kept for r in hyperminhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] != linked[i] for i in linked)
+
+
+def test_boilerplate_without_a_main_component(spark, monkeypatch):
+    """Documents that share most of their text but are no near copies, and pairs of copies among them."""
+    shared = [f"common{j}" for j in range(120)]
+    rows = [(k, " ".join(shared + [f"own{k // 2 if k < 40 else k}n{j}" for j in range(30)] + ([f"end{k}"] if k < 40 else []))) for k in range(120)]
+    for meeting in (1024, 8):
+        monkeypatch.setattr(hyperminhash, "MEETING", meeting)
+        got = hyperminhash.components(spark.createDataFrame(rows, "doc_id long, text string"), block=16)
+        assert {tuple(r) for r in got.collect()} == brute(rows, 3, 85)
