@@ -9,13 +9,18 @@ the bits in which their integers differ, and judged by the share of such bits
 over the overlap. The histogram covers every offset, so no match is missed.
 
 Recordings with equal fingerprints are one class. The queries (a stated part
-of the rows) are searched in blocks of bounded size against all classes.
+of the rows) are searched in blocks of bounded size against all classes, and
+each block's hits are written before the next begins. Comparing one query with
+one recording at all offsets takes a few microseconds; joining them on packed
+integers, or on parts of them, would meet most pairs several times over, as
+neighbouring frames and quiet passages repeat the same integers.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Samples a second after folding down, frame length and step in seconds, and the range of pitches in Hz.
-RATE, FRAME, STEP, LOW, HIGH = 5512, 0.3715, 0.1238, 55.0, 1760.0
+RATE, FRAME, STEP, LOW, HIGH = 5512, 0.3716, 0.1238, 55.0, 1760.0
 #: Overlap at least (the whole of a shorter recording), and the share of wrong bits up to which recordings match.
 OVERLAP, ERRORS = 12, 0.2
-#: Queries searched together, and about how many places of theirs are compared at once (this bounds memory only).
-BLOCK, PLACES = 2000, 32_768
+#: Queries searched together, and about how many places of theirs are compared at once (both bound memory only).
+BLOCK, PLACES = 20_000, 32_768
 #: Filters: kind, first class, height (classes), width (positions). Kinds: 0 whole against nothing, 1 upper against
 #: lower half, 2 earlier against later half, 3 crossed quarters, 4 middle against outer classes, 5 middle against outer positions.
 WIDTH = 12
@@ -39,17 +44,25 @@ SPLIT = (-0.12, 0.0, 0.12)
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 
 
+@lru_cache(maxsize=8)
+def _spectrum(size: int, rate: int) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Length of the transform, range of its rows inside the pitches, their pitch classes (rows, 12), and the frame's window."""
+    length = 1 << (size - 1).bit_length()
+    hertz = np.fft.rfftfreq(length, 1 / rate)
+    inside = np.flatnonzero((hertz >= LOW) & (hertz <= HIGH))
+    note = np.round(12 * np.log2(hertz[inside] / 440.0)).astype(int) % 12
+    return length, int(inside[0]), int(inside[-1]) + 1, np.eye(12)[note], np.hanning(size).astype(np.float32)
+
+
 def pitch_classes(samples: np.ndarray, rate: int) -> np.ndarray:
     """Smoothed, scaled energies (frames, 12)."""
     size, step = int(FRAME * rate), int(STEP * rate)
     if len(samples) < size:
         return np.empty((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, size)[::step]
-    power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2
-    hertz = np.fft.rfftfreq(size, 1 / rate)
-    inside = (hertz >= LOW) & (hertz <= HIGH)
-    note = np.round(12 * np.log2(hertz[inside] / 440.0)).astype(int) % 12
-    chroma = power[:, inside] @ np.eye(12)[note]
+    length, first, last, fold, window = _spectrum(size, rate)
+    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), size)[::step]
+    spectrum = np.fft.rfft(frames * window, length, axis=1)[:, first:last]
+    chroma = (spectrum.real**2 + spectrum.imag**2).astype(np.float64) @ fold
     smooth = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
     if len(chroma) < len(smooth):
         return np.empty((0, 12))
@@ -58,26 +71,22 @@ def pitch_classes(samples: np.ndarray, rate: int) -> np.ndarray:
     return np.divide(chroma, norm, out=np.zeros_like(chroma), where=norm > 1e-9)
 
 
-def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Packed integers (uint32), one for each position; none for a recording that is too short."""
-    picture = pitch_classes(samples, rate)
-    n = len(picture) - WIDTH + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint32)
-    integral = np.zeros((len(picture) + 1, 13))
-    integral[1:, 1:] = picture.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+def packed(pictures: np.ndarray) -> np.ndarray:
+    """Packed integers (uint32), one for each position, of equally long pictures (pictures, frames, 12)."""
+    n = max(0, pictures.shape[1] - WIDTH + 1)
+    integral = np.zeros((len(pictures), pictures.shape[1] + 1, 13))
+    integral[:, 1:, 1:] = pictures.cumsum(axis=1).cumsum(axis=2)
 
     def area(a: int, b: int, c: int, d: int) -> np.ndarray:
         """Sums over positions a..b and classes c..d from each position on."""
-        return integral[at + b, d] - integral[at + a, d] - integral[at + b, c] + integral[at + a, c]
+        return integral[:, b : b + n, d] - integral[:, a : a + n, d] - integral[:, b : b + n, c] + integral[:, a : a + n, c]
 
-    out = np.zeros(n, dtype=np.uint32)
+    out = np.zeros((len(pictures), n), dtype=np.uint32)
     for kind, c, h, w in FILTERS:
         d = c + h
         whole = area(0, w, c, d)
         if kind == 0:
-            first, second = whole, np.full(n, w * h * 0.2)
+            first, second = whole, np.full_like(whole, w * h * 0.2)
         elif kind == 1:
             first = area(0, w, c, c + h // 2)
             second = whole - first
@@ -98,6 +107,24 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     return out
 
 
+def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
+    """The packed integers of one recording; none if it is too short."""
+    return packed(pitch_classes(samples, rate)[None])[0]
+
+
+def fingerprint_all(recordings: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """``fingerprint`` of each recording, those of equal length together."""
+    pictures = [pitch_classes(*r) for r in recordings]
+    alike: dict[int, list[int]] = {}
+    for k, picture in enumerate(pictures):
+        alike.setdefault(len(picture), []).append(k)
+    out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(pictures)
+    for own in alike.values():
+        for k, items in zip(own, packed(np.stack([pictures[k] for k in own])), strict=True):
+            out[k] = items
+    return out
+
+
 def read_wav(data: bytes | None) -> tuple[np.ndarray, int]:
     """(mono samples, rate) of 16-bit PCM; nothing for null or anything else."""
     import io
@@ -120,12 +147,15 @@ def play(values: list[float] | None, note: float = 0.1) -> tuple[np.ndarray, int
     if not values:
         return np.empty(0), RATE
     own = np.array([np.nan if v is None else v for v in values], dtype=float)
-    pitch = 220.0 * 2 ** (np.floor(np.clip(np.nan_to_num(own), -1, 1) * 30) / 12)
+    steps = np.floor(np.clip(np.nan_to_num(own), -1, 1) * 30).astype(int)
+    return np.concatenate([_tone(int(k), note) if there else np.zeros(int(note * RATE)) for k, there in zip(steps, np.isfinite(own), strict=True)]), RATE
+
+
+@lru_cache(maxsize=256)
+def _tone(step: int, note: float) -> np.ndarray:
     n = int(note * RATE)
-    t = np.arange(n) / RATE
-    tones = np.sin(2 * np.pi * np.outer(pitch, t)) + 0.4 * np.sin(4 * np.pi * np.outer(pitch, t))
-    tones[~np.isfinite(own)] = 0
-    return (tones * np.hanning(n)).ravel(), RATE
+    phase = 2 * np.pi * 220.0 * 2 ** (step / 12) * np.arange(n) / RATE
+    return (np.sin(phase) + 0.4 * np.sin(2 * phase)) * np.hanning(n)
 
 
 def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable[[object], tuple[np.ndarray, int]] = read_wav) -> DataFrame:
@@ -135,7 +165,7 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                items = [fingerprint(*decode(v.as_py())).astype("<u4").tobytes() for v in part.column(1)]
+                items = [x.astype("<u4").tobytes() for x in fingerprint_all([decode(v.as_py()) for v in part.column(1)])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in items]), pa.array(items, type=pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in items])], names=["id", "n_items", "items", "sha256"]
                 )
@@ -245,7 +275,10 @@ def align(media: DataFrame, id_col: str, media_col: str, decode: Callable[[objec
     query = F.min(F.when((F.col("id") % every == 0) & (F.col("n_items") > 0), F.col("id"))).alias("query")
     classes = common.staged(found.groupBy("sha256", "items").agg(F.min("id").alias("class_id"), query), "classes")
     asked = classes.where("query is not null").select("query", "items")
-    hits, last = None, None
+    spark, last = found.sparkSession, None
+    path = common.scratch(spark, "hits")
+    schema = "sha256 string, query long, shift long, errors double"
+    spark.createDataFrame([], schema).write.parquet(path)
     while True:
         rows = asked if last is None else asked.where(F.col("query") > last)
         some = rows.orderBy("query").limit(block).collect()  # a block of queries
@@ -253,12 +286,11 @@ def align(media: DataFrame, id_col: str, media_col: str, decode: Callable[[objec
             break
         last = some[-1]["query"]
         own = _found(classes.where(F.length("items") > 0), QueryBlock([r["query"] for r in some], [bytes(r["items"]) for r in some]))
-        hits = own if hits is None else hits.union(own)
+        own.write.mode("append").parquet(path)
         if len(some) < block:
             break
-    empty = found.sparkSession.createDataFrame([], "sha256 string, query long, shift long, errors double")
     best = F.min(F.struct("errors", "query", "shift")).alias("best")
-    links = (empty if hits is None else hits).groupBy("sha256").agg(F.count(F.lit(1)).alias("n_links"), best)
+    links = spark.read.schema(schema).parquet(path).groupBy("sha256").agg(F.count(F.lit(1)).alias("n_links"), best)
     known = common.staged(classes.select("sha256", "class_id").join(links, "sha256", "left"), "links")
     return found.select("id", "n_items", "sha256").join(known, "sha256").select(
         F.col("id").alias(id_col), "n_items", "sha256", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -114,12 +114,20 @@ def test_classes_and_queries(spark, size):
     for i in sorted(i for i in prints if i is not None and i % 10 == 0 and len(prints[i])):
         asked.setdefault(prints[i].tobytes(), i)
     for i, p in prints.items():
-        hits = [(e, q, s) for own, q in asked.items() for _, s, e in block([np.frombuffer(own, dtype="<u4")]).search(p)] if len(p) else []
+        hits = [(hit[1], q, hit[0]) for own, q in asked.items() if len(p) and (hit := every_offset(np.frombuffer(own, dtype="<u4"), p))]
         assert (got[i].n_items, got[i].class_id, got[i].n_links) == (len(p), first[p.tobytes()], len(hits))
         if hits:
             e, q, s = min(hits)
             assert (got[i].best_query, got[i].best_offset, got[i].best_errors) == (q, s, round(e, 6))
 
 
+def test_recordings_of_different_lengths_and_a_very_long_one():
+    rng = np.random.default_rng(5)
+    recordings = [audio.play(rng.uniform(-1, 1, n).tolist()) for n in (64, 10, 64, 0, 3, 40, 5000)]
+    for (x, rate), items in zip(recordings, audio.fingerprint_all(recordings), strict=True):
+        assert np.array_equal(items, audio.fingerprint(x, rate))
+    assert len(items) > 3900
+
+
 def test_empty_table(spark):
     assert audio.align(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding", audio.play).collect() == []
