@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents of each class that training reads (expected number), and hash bits.
+#: Labelled documents of each class that training reads at most, and hash bits.
 SAMPLE, BITS = 3000, 18
 #: Training goes over its sample until it has made so many updates, at least twice and at most MOST times.
 UPDATES, MOST = 24_000, 24
@@ -95,19 +95,29 @@ class Model:
     bits: int
 
 
+def _drawn(rows: DataFrame, by: Column, sizes: dict[int, int], sample: int) -> DataFrame:
+    """``sample`` rows of each label at most, those with the smallest hash, which is added as ``draw``."""
+    rate = F.coalesce(*(F.when(F.col("label") == k, min(1.0, 1.2 * sample / n)) for k, n in sorted(sizes.items())), F.lit(0.0))
+    own = rows.withColumn("draw", F.pmod(by, F.lit(1 << 30))).where(F.col("draw") < rate * (1 << 30)).dropDuplicates(["doc_id", "label", "draw"])  # equal rows count once
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))  # about 1.2 * sample rows
+    return own.withColumn("place", place).where(F.col("place") <= sample).drop("place")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, updates: int = UPDATES, bits: int = BITS, seed: int = 10) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); other labels are left out, null texts are empty.
 
-    The sample is drawn from the labels, so only its texts leave the scan.
+    Label rows that repeat count once; a document with both labels is an
+    example of each. Of each class ``sample`` labels at most are drawn, and of
+    the rows that have their ids (ids may repeat) again ``sample`` at most.
     """
-    rows = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
+    rows = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
     if not sizes:
         return Model(np.zeros((1 << bits) + 8, dtype=np.float32), bits)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
-    rate = F.when(F.col("label") == 1, min(1.0, sample / sizes.get(1, sample))).otherwise(min(1.0, sample / sizes.get(0, sample)))
-    drawn = F.broadcast(rows.where(draw < rate * (1 << 30)).withColumn("draw", draw))  # about 2 * sample rows
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
+    drawn = _drawn(rows, F.xxhash64("doc_id", F.lit(seed)), sizes, sample)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn.select("doc_id", "label")), "doc_id")  # at most 2 * sample rows
+    met = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}  # two rows
+    chosen = _drawn(own, F.xxhash64("doc_id", "text", F.lit(seed)), met, sample).select("draw", "doc_id", "text", "label")
     have = {k: min(n, sample) for k, n in sizes.items()}
     # rows of a class stand for as many as it has: scores follow the labels' own balance
     weight = {k: n / have[k] * sum(have.values()) / sum(sizes.values()) for k, n in sizes.items()}

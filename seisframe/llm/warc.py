@@ -92,10 +92,11 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 
 def dictionary(records: DataFrame, sample: int = SAMPLE, seed: int = 4) -> bytes:
-    """Dictionary from about ``sample`` records, chosen by a hash of the page id and built in one task."""
+    """Dictionary from ``sample`` different records at most, chosen by a hash of the whole record and built in one task."""
     total = records.count()
-    draw = F.pmod(F.xxhash64("page_id", F.lit(seed)), F.lit(1 << 30))
-    chosen = records.where(draw < min(1.0, sample / max(1, total)) * (1 << 30)).repartition(1).sortWithinPartitions(draw, "page_id", "payload")
+    own = records.withColumn("h", F.xxhash64("page_id", "url", "payload", F.lit(seed)))
+    drawn = own.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, 1.5 * sample / max(1, total)) * (1 << 30)).dropDuplicates(["h"])  # equal records count once
+    chosen = drawn.orderBy("h").limit(sample).repartition(1).sortWithinPartitions("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [record(*row) for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]

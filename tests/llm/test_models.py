@@ -131,6 +131,70 @@ def test_quality_on_held_out(graded):
     assert got[900].score == got[901].score
 
 
+def plain_scores(rows, asked, bits, updates):
+    """Learning and scoring by plain loops over dictionaries; rows are (text, label) in the order of learning."""
+    import math
+    import re
+
+    import xxhash
+
+    mask, a, b = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def features(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text)
+        if not tokens:
+            return {3: 1.0, 4: 1.0}
+        h = [xxhash.xxh64_intdigest(t.lower()) for t in tokens]
+        counts = {}
+        for gram in h + [((((x * a) & mask) ^ ((y * b) & mask)) * a) & mask for x, y in zip(h, h[1:])]:
+            at = (((gram * b) & mask) >> (64 - bits)) + 8
+            counts[at] = counts.get(at, 0) + 1
+        values = {k: 1 + math.log(n) for k, n in counts.items()}
+        length = math.sqrt(sum(v * v for v in values.values()))
+        return {3: 1.0, 1: sum(map(str.isupper, tokens)) / len(h), 2: sum(x == y for x, y in zip(h, h[1:])) / len(h)} | {k: v / length for k, v in values.items()}
+
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for _ in range(min(quality.MOST, max(2, updates // len(rows)))):
+        for text, label in rows:
+            x = features(text)
+            own = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(own[k] * v for k, v in x.items())))))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / quality.ALPHA * own[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return [1 / (1 + math.exp(-sum(weight(k) * v for k, v in features(t).items()))) for t in asked]
+
+
+def test_quality_against_plain_loops(spark, graded):
+    docs, labels = graded
+    known = labels.where("quality is not null and doc_id < 80").selectExpr("doc_id", "quality as label")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = docs.join(known, "doc_id").selectExpr("doc_id", "label", "pmod(xxhash64(doc_id, coalesce(text, ''), 10), 1 << 30) as draw").orderBy("draw", "doc_id").collect()
+    model = quality.train(docs, known, updates=400, bits=12)
+    asked = docs.where("doc_id < 40 or doc_id >= 900")
+    got = {r.doc_id: r.score for r in quality.score(asked, model).collect()}
+    want = plain_scores([(texts[r.doc_id], r.label) for r in order], [texts[i] for i in got], 12, 400)
+    assert np.allclose(list(got.values()), want, atol=1e-5) and max(want) - min(want) > 0.3
+
+
+def test_quality_repeated_and_contradicting_labels(spark, graded):
+    docs, labels = graded
+    once = quality.train(docs, labels.where("quality is not null").selectExpr("doc_id", "quality as label"), updates=200)
+    twice = labels.where("quality is not null").selectExpr("doc_id", "quality as label")
+    assert np.array_equal(once.weights, quality.train(docs, twice.union(twice), updates=200).weights)
+    both = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, label int")
+    repeated = spark.createDataFrame([(1, "good words here")] * 900 + [(1, "other text")], "doc_id long, text string")
+    score = quality.score(repeated, quality.train(repeated, both, sample=5, updates=10)).collect()
+    assert len(score) == 901 and all(0.2 < r.score < 0.8 for r in score)
+
+
 def test_quality_without_labels_or_rows(graded, nothing):
     docs, labels = graded
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
