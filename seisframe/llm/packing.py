@@ -25,57 +25,90 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, vocabulary
 
 WINDOW, END_ID = 1024, 0
-#: Rounds of the solver, and characters of one text that the tokenizer gets at once where a text can be cut (this bounds memory only).
-ROUNDS, CUT = 150, 1_000_000
+#: Rounds of the solver.
+ROUNDS = 150
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 #: Sequence ids start here for windows filled by combinations, and for those packed end to end.
 FILLED, RESIDUAL = 1 << 60, 1 << 61
-#: Between such characters a pre-token always ends, so ids on both sides are independent.
-_SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 class ByteTokenizer:
-    """Ids of the ``tokenizers`` library for byte_bpe_50k.json, no special tokens added."""
+    """Ids of the ``tokenizers`` library for byte_bpe_50k.json, no special tokens added.
+
+    The library gets each word (pre-token) once and not each occurrence, many
+    words in one call with a special token between them. Texts that hold such a
+    token's string, or a character that the library and ``regex`` class
+    differently, go to the library whole.
+    """
+
+    #: Words kept between calls, and the longest that is kept (both bound memory only).
+    KEPT, LONGEST = 500_000, 64
+    #: The vocabulary's pre-tokens; the order of branches that can't both match differs from its own. The second is the same for ASCII texts.
+    WORD = regex.compile(r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    ASCII = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
     def __init__(self, folder: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(vocabulary.path(vocabulary.BYTE_BPE, folder))
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian 32-bit ids of each text."""
-        parts, sizes = [], []
-        for text in texts:
-            own = list(self._cut(text)) if len(text) > CUT else [text]
-            parts += own
-            sizes.append(len(own))
-        ids: list[np.ndarray] = []
-        for i in range(0, len(parts), 256):
-            ids += [np.array(e.ids, dtype="<u4") for e in self.own.encode_batch_fast(parts[i : i + 256], add_special_tokens=False)]
-        out, at = [], 0
-        for n in sizes:
-            out.append(ids[at] if n == 1 else np.concatenate(ids[at : at + n]))
-            at += n
+        self.exact = Tokenizer.from_file(vocabulary.path(vocabulary.BYTE_BPE, folder))
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.mark, self.mark_id = self.special[0], self.exact.token_to_id(self.special[0])
+        self.known: dict[str, bytes] = {}
+        self.agreed: set[str] = set()
+        self.odd: set[str] = set()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.exact.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _same_words(self, text: str) -> bool:
+        """Whether both libraries put all characters of the text into the same classes."""
+        own = set(text)
+        for c in own - self.agreed - self.odd:
+            probe = f"a{c}a 1{c}1 .{c}. {c}{c}\n{c}"
+            ends = np.cumsum([len(w) for w in self.WORD.findall(probe)]).tolist()
+            (self.agreed if ends == [e for _, (_, e) in self.exact.pre_tokenizer.pre_tokenize_str(probe)] else self.odd).add(c)
+        return own.isdisjoint(self.odd)
+
+    def _words(self, text: str) -> list[str] | None:
+        """The text's pre-tokens; None if the library has to find them."""
+        if any(m in text for m in self.special):
+            return None
+        if text.isascii():
+            return self.ASCII.findall(text)
+        return self.WORD.findall(text) if self._same_words(text) else None
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.exact.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        split = [self._words(t) for t in texts]
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        known = self.known
+        new = [w for w in set().union(*(own for own in split if own)) if w not in known]
+        long = [w for w in new if len(w) > self.LONGEST]
+        self._learn([w for w in new if len(w) <= self.LONGEST])
+        for w in long:
+            self.known[w] = self._whole(w)
+        out = [self._whole(t) if own is None else b"".join(map(self.known.__getitem__, own)) for t, own in zip(texts, split, strict=True)]
+        for w in long:
+            del self.known[w]
         return out
 
-    @staticmethod
-    def _cut(text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > CUT:
-            seam = _SEAM.search(text, at + CUT)
-            if not seam:
-                break
-            yield text[at : seam.start()]
-            at = seam.start()
-        yield text[at:]
-
 
 @lru_cache(maxsize=1)
 def tokenizer(folder: str | None = None) -> ByteTokenizer:
@@ -95,18 +128,18 @@ def tokenised(docs: DataFrame, folder: str | None = None, window: int = WINDOW,
         from pyspark import TaskContext
 
         own, part = tokenizer(folder), TaskContext.get().partitionId()
-        windows, seen = part << 36, np.zeros(window, dtype=np.int64)
+        windows, seen, end = part << 36, [0] * window, END_ID.to_bytes(4, "little")
         for ids, texts in common.blocks(batches):
             cols: list[list] = [[] for _ in range(9)]
             for doc, row in zip(ids, own.encode_all(texts), strict=True):
-                row = np.append(row, np.uint32(END_ID)).astype("<u4")
-                whole = len(row) // window
-                rest = row[whole * window :]
-                crcs = [zlib.crc32(row[k * window : (k + 1) * window].tobytes()) for k in range(whole)]
-                for c, v in zip(cols, (doc, len(row), windows, crcs, len(rest), rest.tobytes(), zlib.crc32(rest.tobytes()), part, int(seen[len(rest)])), strict=True):
+                row += end
+                whole, left = divmod(len(row) // 4, window)
+                rest = row[len(row) - 4 * left :]
+                crcs = [zlib.crc32(row[k : k + 4 * window]) for k in range(0, 4 * window * whole, 4 * window)]
+                for c, v in zip(cols, (doc, len(row) // 4, windows, crcs, left, rest, zlib.crc32(rest), part, seen[left]), strict=True):
                     c.append(v)
                 windows += whole
-                seen[len(rest)] += 1
+                seen[left] += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_tokens", "first_window", "crcs", "rest_len", "rest", "rest_crc", "part", "nth"])
         common.release()

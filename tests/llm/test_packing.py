@@ -44,15 +44,16 @@ def test_small_window_and_special_strings(spark):
     assert check(packing.pack(frame, window=64).collect(), texts, 64) == 0
 
 
-def test_ids_of_long_runs_and_of_texts_that_are_cut(monkeypatch):
-    own = packing.tokenizer()
-    for text in (" " * 5_000_000, "\n" * 5_000_000, "a" * 5_000_000):
-        assert len(own.encode_all([text])[0]) > 1000
-    exact = own.own
-    texts = ["", " ", "  a  ", "don't", "1a!?", " x", "<|endoftext|>", "ab" * 3000, "\x00\n\n ", "one two  three <|endoftext|> four\nfive 6 seven é ß x " * 40]
-    monkeypatch.setattr(packing, "CUT", 50)
-    for text, ids in zip(texts, own.encode_all(texts), strict=True):
-        assert ids.tolist() == exact.encode(text, add_special_tokens=False).ids
+def test_ids_are_those_of_the_library(monkeypatch):
+    own = packing.ByteTokenizer()
+    for text in (" " * 5_000_000, "\n" * 5_000_000 + "x", "a" * 5_000_000):
+        assert own.encode_all([text])[0] == own._whole(text)
+    odd = "\u0558 \u058b a\u0c5c1 \U00010940 \x85\xa0\u2003\u3000 ½²Ⅷ ١٢ \x00\x1c\x1f é日本🙂 ﬁ İ ß"
+    texts = ["", " ", "  a  ", "don't", "1a!?", " x", "<|endoftext|>", "a <|endoftext|>b", "ab" * 3000, "\x00\n\n ", odd, "\n".join(odd), "one two  three four\nfive 6 seven é ß x " * 40, "word " * 9, *(f"a{chr(c)}a 1{chr(c)}1 .{chr(c)}. {chr(c)}{chr(c)}\n{chr(c)} 's '{chr(c)}" for c in range(128))]
+    for kept in (500_000, 0):
+        monkeypatch.setattr(packing.ByteTokenizer, "KEPT", kept)
+        assert own.encode_all(texts) == [own._whole(t) for t in texts]
+    assert own.odd and not own.odd & set("é日本½²")
 
 
 def test_solution_approaches_the_histogram():
