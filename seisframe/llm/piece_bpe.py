@@ -4,7 +4,9 @@ A block of texts becomes flat numpy arrays: one symbol per character, grouped
 into segments across which no piece of the vocabulary reaches. In each round
 every segment finds its best pair, all its leftmost non-overlapping
 occurrences merge at once, and the arrays are compacted, until no segment has
-a pair. Where merging one occurrence could make a pair that goes before the
+a pair. A very long segment goes through the rounds for low ranks first and is
+split for them where no piece of such a rank, made of whole symbols, reaches
+across. Where merging one occurrence could make a pair that goes before the
 next occurrence (``Codec.risky``), that segment merges one occurrence a round, so the
 result is always that of the sequential algorithm.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame
 from . import common, vocabulary
 from .vocabulary import SPACE
 
-#: Words kept encoded between blocks, and the length from which a segment is merged by a heap instead.
+#: Words kept encoded between blocks, and the length from which a segment is split for the ranks merged so far.
 CACHE_WORDS, LONG_SEGMENT = 300_000, 4096
+#: A long segment is merged up to these ranks in turn.
+LIMITS = [int(64 * 2 ** (k / 2)) for k in range(18)] + [1 << 62]
 #: Characters encoded together.
 BLOCK = 2_000_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -81,7 +85,8 @@ class Codec:
         if model.model_type != 2 or model.charsmap or model.remove_extra_whitespaces:
             raise ValueError("only byte-pair models without text normalisation are supported")
         self.model, self.size = model, len(model.pieces)
-        merged = {p.text: i for i, p in enumerate(model.pieces) if p.kind in (vocabulary.NORMAL, vocabulary.USER_DEFINED)}
+        self.chars = np.array([len(p.text) for p in model.pieces])
+        merged = self.merged = {p.text: i for i, p in enumerate(model.pieces) if p.kind in (vocabulary.NORMAL, vocabulary.USER_DEFINED)}
         score = np.array([p.score for p in model.pieces])
         #: rank[i]: lower merges first; equal for equal scores
         self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
@@ -174,13 +179,45 @@ class Codec:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def _merge(self, symbols: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge rounds over flat symbols grouped by (non-decreasing) segment; returns what is left, in order."""
+    @cached_property
+    def _lattice(self):
+        """All pieces by their text, and their ranks (a last one for no piece)."""
+        from .language_id import Lattice
+
+        own = Lattice(sorted(self.merged))
+        return own, np.array([*(self.rank[self.merged[t]] for t in own.pieces), 1 << 62])
+
+    def _long(self, codes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Merge rounds over one very long segment.
+
+        Up to a limit of rank, parts of the segment do not affect each other
+        if no piece below the limit that begins and ends where symbols do
+        reaches from one into the other; so all parts have their rounds at once.
+        """
+        lattice, ranks = self._lattice
+        found = [ranks[e[0]] for e in lattice.edges(codes[None].astype(np.uint32))]
+        n = len(codes)
+        for limit in LIMITS:
+            starts = np.concatenate([[0], np.cumsum(np.where(symbols < self.size, self.chars[np.minimum(symbols, self.size - 1)], 1))])
+            whole = np.zeros(n + 1, dtype=bool)
+            whole[starts] = True
+            change = np.zeros(n + 2, dtype=np.int32)  # of the number of pieces that reach across a place
+            for size, rank in enumerate(found[1:], 2):
+                at = (rank < limit) & whole[: n - size + 1] & whole[size:]
+                change[1 : n - size + 2] += at
+                change[size : n + 1] -= at
+            crossed = np.cumsum(change)[starts[1:-1]] > 0
+            symbols, _ = self._merge(symbols, np.concatenate([[0], np.cumsum(~crossed)]), limit)
+        return symbols
+
+    def _merge(self, symbols: np.ndarray, segment: np.ndarray, limit: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+        """Merge rounds, of ranks below the limit, over flat symbols grouped by (non-decreasing) segment; returns what is left, in order."""
         done_s, done_g = [], []
         while len(symbols) > 1:
             keys = symbols[:-1] * self.base + symbols[1:]
             at = self.pair_index.find(keys)
             places = np.flatnonzero((at >= 0) & (segment[:-1] == segment[1:]))
+            places = places[self.rank[self.pair_ids[at[places]]] < limit]
             if not len(places):
                 break
             pair = at[places]
@@ -228,11 +265,17 @@ class Codec:
             segment = np.concatenate([[0], np.cumsum(cut)])
             owner = word[np.concatenate([[True], cut])]  # of each segment
             sizes = np.bincount(segment)
-            for g in np.flatnonzero(sizes > LONG_SEGMENT):  # too long for rounds over the whole block
-                inside = np.flatnonzero(segment == g)
-                ids = np.array(self.sequential(symbols[inside].tolist()), dtype=np.int64)
-                symbols = np.concatenate([symbols[: inside[0]], ids, symbols[inside[-1] + 1 :]])
-                segment = np.concatenate([segment[: inside[0]], np.full(len(ids), g), segment[inside[-1] + 1 :]])
+            long = np.flatnonzero(sizes > LONG_SEGMENT)
+            if len(long):
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                parts, last = [], 0
+                for g in long.tolist():
+                    a, b = int(first[g]), int(first[g + 1])
+                    own = self._long(codes[a:b], symbols[a:b])
+                    parts += [(symbols[last:a], segment[last:a]), (own, np.full(len(own), g))]
+                    last = b
+                parts.append((symbols[last:], segment[last:]))
+                symbols, segment = (np.concatenate(x) for x in zip(*parts))
             symbols, segment = self._merge(symbols, segment)
             word = owner[segment]
         symbols, word = self._fall_back(symbols, word)

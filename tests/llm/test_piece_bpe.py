@@ -58,3 +58,23 @@ def test_column_and_empty_table(spark, nothing, library):
     assert piece_bpe.digests(nothing, FILE).collect() == []
     got = piece_bpe.encode_column(spark.createDataFrame([(None, "a b"), (2, None)], "doc_id long, text string"), FILE).collect()
     assert {r.doc_id: r.ids for r in got} == {None: library.encode("a b"), 2: []}
+
+
+def test_long_segments_go_through_the_same_rounds(monkeypatch, library):
+    """Segments split for low ranks first give the library's ids, whatever their length."""
+    rng = random.Random(9)
+    pieces = [p.text for p in vocabulary.piece_model(FILE).pieces if p.kind == vocabulary.NORMAL and vocabulary.SPACE not in p.text]
+    parts = ["rio", "***", "//", "tha", "eston", "-----", "aci", "gin", "a", "b", "日本", "é", "==", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 300))) for _ in range(150)] + ["".join(rng.sample(pieces, 60)) for _ in range(60)] + ["a" * 20_000, "ab" * 9000, "*" * 9001]
+    want = library.encode(texts)
+    for long in (4, 50, 4096):
+        monkeypatch.setattr(piece_bpe, "LONG_SEGMENT", long)
+        own = piece_bpe.Codec(FILE)
+        flat, offsets = own.encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+
+
+def test_a_million_letters_without_a_space(library):
+    rng = random.Random(1)
+    text = "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(1_000_000))
+    assert piece_bpe.codec(FILE).encode([text])[0].tolist() == library.encode(text)
