@@ -247,3 +247,158 @@ def test_stream_of_files(spark, tmp_path):
     got = spark.table("arrived").orderBy("trace_idx").collect()
     assert [list(r.samples) for r in got] == [r[-1] for r in rows] and got[0].iline == 10
     assert codec.element_size(5) == 4 and spec.stack_class(4) == "poststack"
+
+
+class Counted:
+    """A file system that counts the bytes read."""
+
+    def __init__(self, inner):
+        self.inner, self.bytes = inner, 0
+
+    def open_input_file(self, path):
+        outer = self
+
+        class File:
+            def __init__(self):
+                self.f = outer.inner.open_input_file(path)
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                self.f.close()
+
+            def read_at(self, n, at):
+                outer.bytes += n
+                return self.f.read_at(n, at)
+
+        return File()
+
+
+def bytes_read(monkeypatch, **options):
+    """(bytes, rows) of one read, done here and not in a worker."""
+    reader = segy.SegyReader({k: str(v) for k, v in options.items()})
+    real = files.filesystem
+    counted = Counted(real(options["path"])[0])
+    monkeypatch.setattr(files, "filesystem", lambda uri: (counted, uri))
+    try:
+        rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    finally:
+        monkeypatch.setattr(files, "filesystem", real)
+    return counted.bytes, rows
+
+
+def test_only_needed_bytes_are_read(spark, tmp_path, monkeypatch):
+    nt, ni, nx = 2500, 8, 9
+    path = str(tmp_path / "long.sgy")
+    data = np.arange(ni * nx * nt, dtype=np.float32).reshape(ni, nx, nt)
+    api.create(spark, path, data)
+    record = 240 + 4 * nt
+    assert bytes_read(monkeypatch, path=path, mode="keys") == (ni * nx * 240, ni * nx)
+    assert bytes_read(monkeypatch, path=path, mode="headers", first=9, end=18) == (9 * 240, 9)
+    assert bytes_read(monkeypatch, path=path, first=9, end=18) == (9 * record, 9)
+    assert bytes_read(monkeypatch, path=path, lines=f"2,3,{nx},4") == (12 * record, 12)
+    assert bytes_read(monkeypatch, path=path, t0=7, t1=8) == (ni * nx * 244, ni * nx)
+    assert bytes_read(monkeypatch, path=path, first=0, end=0) == (0, 0)
+    assert bytes_read(monkeypatch, path=path, lines=f"0,{nx},{nx},{ni}", partition_bytes=3 * record, t0=0, t1=5) == (ni * nx * 260, ni * nx)
+    own = Survey(spark, path, 189, 193)
+    assert own.geometry.in_order
+    for key in ((slice(None), 4), (2, 3), (slice(2, 5), slice(1, 4), slice(100, 103)), ([7, 0], slice(3, 5), [5, 2]), (Ellipsis, 2499)):
+        want = data[np.ix_([7, 0], [3, 4], [5, 2])] if isinstance(key[0], list) else data[key]
+        assert (own.to_numpy(key) == np.squeeze(want)).all()
+
+
+def test_slices_of_a_regular_survey_shuffle_nothing(spark, tmp_path):
+    rows, _ = model(21, drop=0)
+    own = Survey(spark, make(spark, tmp_path / "a.sgy", rows), 189, 193)
+    for key in (3, (slice(None), 2), (1, 1), (slice(1, 3), slice(2, 4), slice(1, 5)), ([4, 0], [1, 6])):
+        plan = own[key]._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchScan") == 1 and "Join" not in plan.replace("BroadcastHashJoin", "")
+        assert not [x for x in plan.split("\n") if "Exchange" in x and "Broadcast" not in x]
+    assert own._reach((3, 4), (0, 7)) == {"first": 21, "end": 28} and own._reach((1, 3), (2, 4)) == {"lines": "9,2,7,2"}
+    irregular, _ = model(22)
+    there = Survey(spark, make(spark, tmp_path / "b.sgy", irregular), 189, 193)
+    at = [r[0] for r in irregular if r[1] == 14]
+    assert there._reach((2, 3), (0, 7)) == {"first": min(at), "end": max(at) + 1}
+
+
+def test_scan_across_ranges_of_keys(spark):
+    rng = np.random.default_rng(4)
+    keys = spark.createDataFrame([(n, int(a), int(b)) for n, (a, b) in enumerate(zip(rng.choice(np.arange(-60, 900, 4), 300), rng.choice(np.arange(5, 200, 3), 300)))], "trace_idx long, iline int, xline int")
+    rows = keys.collect()
+    for chunk in (1, 7, 1 << 16):
+        got = {r["axis"]: r for r in g.key_axes(keys, ("iline", "xline"), chunk).collect()}
+        for axis in ("iline", "xline"):
+            values = np.unique([r[axis] for r in rows])
+            assert (got[axis]["low"], got[axis]["high"], got[axis]["step"]) == (values[0], values[-1], np.diff(values).min())
+    with pytest.raises(ValueError, match="grid"):
+        g.scan(spark.createDataFrame([(0, 1, 1), (1, 4, 1), (2, 6, 1)], "trace_idx long, iline int, xline int"))
+    with pytest.raises(ValueError, match="positive"):
+        g.scan(keys, steps=(0, 1))
+    with pytest.raises(ValueError, match="no traces"):
+        g.scan(keys.limit(0))
+
+
+def test_survey_functions(spark, tmp_path):
+    rows, dense = model(23, drop=0)
+    path = make(spark, tmp_path / "a.sgy", rows, start_time=12, scalar=-10)
+    own = Survey(spark, path, 189, 193)
+    assert not own.is_create_geometry
+    assert np.array_equal(np.asarray(own), dense) and np.array(own, dtype=np.float64).dtype == np.float64
+    np.save(tmp_path / "a.npy", own)
+    assert np.array_equal(np.load(tmp_path / "a.npy"), dense) and own.is_create_geometry
+    got = own.read_traces([(2, 3), (0, 0), (2, 3)]).orderBy("pos").collect()
+    assert [list(r.samples) for r in got] == [dense[2, 3].tolist(), dense[0, 0].tolist(), dense[2, 3].tolist()]
+    got = own.read_traces([5, -1, 40], 2, 6).orderBy("pos").collect()
+    assert [list(r.samples) for r in got] == [dense.reshape(-1, NT)[5, 2:6].tolist(), [0.0] * 4, dense.reshape(-1, NT)[40, 2:6].tolist()]
+    assert [r.trace_idx for r in own.map_to_index([(1, 0), (0, 6)]).orderBy("pos").collect()] == [7, 6]
+    assert own.time_start == 12 and own.scalar == 0.1 and own.time_axis[:2].tolist() == [12.0, 14.0]
+    assert own.interval == pytest.approx((3.0, 2.0))
+    own.scalar = 1.0
+    assert own.scalar == 1.0
+    xy = own.ix_to_xy([(10, 100), (20, 118)], zero_based=False)
+    assert np.allclose(xy, [(1000, 5000), (1120, 5150)], atol=0.01) and np.allclose(own.xy_to_ix(xy, zero_based=False), [(10, 100), (20, 118)], atol=0.01)
+    assert own.north() == pytest.approx((1.0, 0.0), abs=1e-3)
+    point = own.interp([(1.5, 2.0)], "zero").orderBy("k").toPandas()["value"]
+    assert np.allclose(point, (dense[1, 2] + dense[2, 2]) / 2, atol=1e-4)
+    assert own.outline().count() == own.outline("xy").count() == 12
+    assert own.key_series(("xline", "x_coord"), 3, 5).orderBy("trace_idx").collect()[1][:] == (4, 112, 1080)
+    with pytest.raises(ValueError, match="mode"):
+        own.outline("other")
+
+
+def test_whole_file_functions(spark, tmp_path):
+    data = np.random.default_rng(3).normal(size=(12, 20, NT)).astype(np.float32)
+    path, raw = str(tmp_path / "c.sgy"), str(tmp_path / "c.dat")
+    api.create(spark, path, data)
+    assert (api.fromfile_ignore_header(spark, path, 20, 12, NT) == data.reshape(20, 12, NT)).all()
+    api.tofile_ignore_header(spark, path, raw, NT, 20, 12)
+    assert (np.fromfile(raw, "<f4").reshape(data.shape) == data).all()
+    os.unlink(raw)
+    assert cli.main(["read", "-i", path, "-o", raw, "--ignore-header", "-d", "12", "20", str(NT)], spark) == 0
+    assert (np.fromfile(raw, "<f4").reshape(data.shape) == data).all()
+    with pytest.raises(ValueError, match="aren't"):
+        api.set_size(path, NT, 20, 13)
+    api.tofile_by_guess(spark, path, raw)
+    assert (np.fromfile(raw, "<f4").reshape(data.shape) == data).all()
+    out = str(tmp_path / "d.sgy")
+    assert api.create_by_sharing_header_guess(spark, out, path, data * 2) == 240
+    assert (api.fromfile(spark, out) == data * 2).all()
+    with pytest.raises(ValueError, match="no guessed"):
+        api.create_by_sharing_header_guess(spark, out, path, data[:, :5])
+    with pytest.raises(ValueError, match="shape"):
+        api.create_by_sharing_header_guess(spark, out, path, raw)
+    meta = api.get_metaInfo(spark, path)
+    assert (meta.ni, meta.nx, meta.nt, meta.isnormal) == (12, 20, NT, True) and meta.x_interval == pytest.approx(25.0)
+    meta.dt = 1000
+    assert meta.as_dict()["dt"] == 1000
+    head = api.trace_header(path, 21)
+    assert int.from_bytes(api.trace_header(path, 21, raw=True)[188:192], "big") == 2 == np.frombuffer(head[188:192], dtype=np.int32)[0]
+    assert len(api.trace_record(path, 21, raw=True)) == 240 + 4 * NT and np.array_equal(np.frombuffer(api.trace_record(path, 21)[240:], dtype=np.float32), data[1, 1])
+    assert np.frombuffer(api.binary_header(path)[16:18], dtype=np.int16)[0] == 2000
+    assert api.get_trace_keys2(spark, path, 193, 3, 5).tolist() == [4, 5]
+    with pytest.raises(NotImplementedError):
+        api.scan_4D(path)
+    assert guess(path, spark, xline=17)[0][:2] == (189, 17) and guess(path, spark, xloc=5, yloc=9)[0][4:] == (5, 9)
+    with pytest.raises(ValueError, match="plausible"):
+        guess(path, spark, iline=1)
