@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is named."""
+    """The folder that driver and executors share; a temporary one only in local mode, and if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="seisframe-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -40,10 +42,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a written table that nothing reads any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop(staged_table: DataFrame) -> None:
+    """Remove a table that ``staged`` wrote and nothing reads any more."""
+    context = staged_table.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(staged_table.staged_path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -51,7 +54,9 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
 
 
 def ascii_lower(text: Column) -> Column:

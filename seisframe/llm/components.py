@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     one = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
     one = common.staged(one.distinct(), f"{name}-edges")
     both = one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = common.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), name)
+    written = common.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), name)
+    labels = written
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         lower = labels.join(near, "id").withColumn("low", F.least("label", "near"))
@@ -31,6 +32,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         new = hooked.join(jump, "label").select("id", "old", F.least("label", "further").alias("label"))
         new = common.staged(new, name)
         changed = not new.where("label <> old").isEmpty()
-        labels = new.select("id", "label")
+        common.drop(written)  # the new labels are written whole
+        written, labels = new, new.select("id", "label")
         if not changed:
             return labels.withColumnRenamed("label", "component")
