@@ -402,3 +402,28 @@ def test_whole_file_functions(spark, tmp_path):
     assert guess(path, spark, xline=17)[0][:2] == (189, 17) and guess(path, spark, xloc=5, yloc=9)[0][4:] == (5, 9)
     with pytest.raises(ValueError, match="plausible"):
         guess(path, spark, iline=1)
+
+
+def test_gathers_as_a_volume(spark, tmp_path):
+    """A 2-D prestack line read as a volume whose second axis is the offset."""
+    rng = np.random.default_rng(31)
+    data = rng.integers(-9, 9, (5, 4, NT)).astype(np.float32)
+    rows = [(4 * i + o, 7, 300 + i, 150 + 25 * o, 0, 0, data[i, o].tolist()) for i in range(5) for o in range(4)]
+    path = make(spark, tmp_path / "line.sgy", rows)
+    assert (api.fromfile(spark, path, iline=21, xline=37, istep=1, xstep=25) == data).all()
+
+
+def test_external_keys_and_fill(spark, tmp_path):
+    rows, dense = model(32)
+    blank = [(n, 0, 0, 0, 0, 0, samples) for n, *_, samples in rows]
+    ic = spark.createDataFrame([(n, il, xl) for n, il, xl, *_ in rows], "trace_idx long, iline int, xline int")
+    own = Survey(spark, make(spark, tmp_path / "a.sgy", blank), ic=ic, fill=float("nan"))
+    there = np.zeros(dense.shape[:2], dtype=bool)
+    for _, il, xl, *_ in rows:
+        there[(il - 10) // 2, (xl - 100) // 3] = True
+    got = own.to_numpy()
+    assert np.isnan(got[~there]).all() and (got[there] == dense[there]).all() and not there.all()
+    part = own.to_numpy((slice(1, 4), slice(2, 5), [3, 1]))
+    assert np.array_equal(part, got[1:4, 2:5][:, :, [3, 1]], equal_nan=True)
+    with pytest.raises(ValueError, match="one row"):
+        _ = Survey(spark, str(tmp_path / "a.sgy"), ic=ic.limit(3)).geometry
