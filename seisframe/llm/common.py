@@ -148,6 +148,15 @@ def size_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Written tables up to this size are broadcast.
+SMALL = 8 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if size_of(df) <= SMALL else df
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], dict], schema: str, order: str = "id") -> DataFrame:
     """Apply ``fn(columns) -> columns`` to the rows of each key, ordered; groups must be small enough for a task."""
     from pyspark.sql.pandas.types import to_arrow_schema

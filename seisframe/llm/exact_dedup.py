@@ -28,8 +28,6 @@ from . import common
 CAPACITY, LEVEL = 1024, 12
 #: Rows of one key, and bytes of texts, that its owner takes as they are.
 ROWS, BYTES = 256, 32 << 20
-#: Written tables up to this size are broadcast.
-SMALL = 8 << 20
 
 
 def prefix_of(key: Column, bits: int) -> Column:
@@ -67,16 +65,11 @@ def grow(keys: DataFrame, total: int, capacity: int) -> list[tuple[int, DataFram
     return levels
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is small."""
-    return F.broadcast(df) if common.size_of(df) <= SMALL else df
-
-
 def routed(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     """``rows`` (key, ...) with their bucket (its first key) and local_depth, looked up in the directory."""
     bits = []
     for k, (high, slots) in enumerate(levels):
-        rows = rows.withColumn(f"__slot{k}", prefix_of(F.col("key"), high)).join(_sized(slots.toDF(f"__slot{k}", f"__bits{k}")), f"__slot{k}", "left")
+        rows = rows.withColumn(f"__slot{k}", prefix_of(F.col("key"), high)).join(common.sized(slots.toDF(f"__slot{k}", f"__bits{k}")), f"__slot{k}", "left")
         bits.append(F.col(f"__bits{k}"))
     rows = rows.withColumn("local_depth", F.coalesce(*bits, F.lit(0)))
     shift = F.lit(64) - F.col("local_depth")
@@ -101,7 +94,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = common.staged(keys, "keys")
     levels = grow(keys.select("key"), keys.count(), capacity)
     crowded = common.staged(keys.where((F.col("n") > rows) | ((F.col("n") > 1) & (F.col("n") * F.col("width") > size))).select("key", F.lit(True).alias("crowded")), "crowded-keys")
-    each = keyed.join(_sized(crowded), "key", "left")
+    each = keyed.join(common.sized(crowded), "key", "left")
     own = Window.partitionBy("bucket", "key", "norm")
     names = ["bucket", "local_depth", "key", "chain", "doc_id", F.octet_length("norm").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"]
     # every bucket has one owner; the rows of a key stand in it ordered by their bytes
@@ -112,7 +105,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         many = routed(each.where("crowded"), levels)
         chains = many.groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         chains = common.staged(chains.withColumn("chain", _chained()), "crowded-chains")
-        owned = owned.union(many.drop("crowded").join(_sized(chains), ["bucket", "key", "norm"]).select(*names))
+        owned = owned.union(many.drop("crowded").join(common.sized(chains), ["bucket", "key", "norm"]).select(*names))
     return common.staged(owned, "extendible-index")
 
 

@@ -229,8 +229,7 @@ def features(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
 
 def _blocked(members: DataFrame, sizes: DataFrame, block: int, seed: int) -> DataFrame:
     """Members (id, cluster, ...) with their block and their cluster's number of blocks."""
-    sizes = sizes.select("cluster", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    return members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), "blocks").cast("int"))
+    return members.join(common.sized(sizes), "cluster").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), "blocks").cast("int"))
 
 
 def _link_blocks(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -283,7 +282,7 @@ def _asked(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent:
     counts = known.groupBy("cluster", "label").count()
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most"))
     main = main.withColumn("parts", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")).where("parts > 0").select("cluster", "main", "parts")
-    rows = known.join(main, "cluster").join(sketches, "id")
+    rows = known.join(common.sized(common.staged(main, "main-components")), "cluster").join(sketches, "id")
     part = F.pmod(F.xxhash64("id", F.lit(3)), "parts").cast("int")
     queries = rows.where("label <> main").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     stock = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -364,7 +363,7 @@ def _marked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
             if not 0 < now < before:
                 break
             before = now
-            again = hubs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+            again = common.staged(hubs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
             level = common.staged(_link_blocks(_blocked(hubs, again, 2 * block, seed), size, percent), "links")
             links = links.union(level.where("id <> root").select("id", "root"))
             seed += 1
