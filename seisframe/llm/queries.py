@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audio, exact_dedup, hyperminhash, language_id, packing, pii, piece_bpe, quality, substring_dedup, vocabulary, warc
@@ -53,6 +52,8 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this folder
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
