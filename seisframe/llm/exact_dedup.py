@@ -27,7 +27,7 @@ from . import common
 #: Keys per bucket before it splits, and bits that one level of the directory adds at most.
 CAPACITY, LEVEL = 1024, 12
 #: Rows of one key, and bytes of texts, that its owner takes as they are.
-ROWS, BYTES = 256, 32 << 20
+ROWS, BYTES = 256, 8 << 20
 
 
 def prefix_of(key: Column, bits: int) -> Column:
