@@ -61,6 +61,10 @@ class ByteTokenizer:
         self.exact = Tokenizer.from_file(vocabulary.path(vocabulary.BYTE_BPE, folder))
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         self.mark, self.mark_id = self.special[0], self.exact.token_to_id(self.special[0])
+        vocabulary_of = self.exact.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary_of.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary_of.items():  # a byte is one character there
+            self.id_bytes[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.agreed: set[str] = set()
         self.odd: set[str] = set()
@@ -86,12 +90,22 @@ class ByteTokenizer:
         return self.WORD.findall(text) if self._same_words(text) else None
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
+        alone = []
+        plain = []
+        for w in words:
+            (plain if w[0] == " " and w[1:].isalpha() else alone).append(w)
+        for i in range(0, len(plain), 1000):  # each begins with a space, so that they stay apart without a mark
+            part = plain[i : i + 1000]
+            ids = np.array(self.exact.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            sizes = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
+            self._keep(part, ids.tobytes(), (4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), sizes) + 1)).tolist(), 0)
+        for i in range(0, len(alone), 1000):
+            part = alone[i : i + 1000]
             ids = np.array(self.exact.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)]
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)), strict=True))
+            self._keep(part, ids.tobytes(), [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)], 4)
+
+    def _keep(self, words: list[str], raw: bytes, ends: list[int], gap: int) -> None:
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *(e + gap for e in ends)], ends)), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
