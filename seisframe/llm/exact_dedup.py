@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Keys per bucket before it splits, and bits that one level of the directory adds at most.
-CAPACITY, LEVEL = 1024, 12
+#: Keys per bucket before it splits, buckets that evenly dealt keys need at most (beyond, more keys fit into one, so that
+#: the directory stays a few MB and is broadcast), and bits that one level of the directory adds at most.
+CAPACITY, BUCKETS, LEVEL = 256, 1 << 17, 12
 #: Rows of one key, and bytes of texts, that its owner takes as they are.
 ROWS, BYTES = 256, 8 << 20
 
@@ -92,7 +93,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col, key_of)
     keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("norm")).alias("width"))
     keys = common.staged(keys, "keys")
-    levels = grow(keys.select("key"), keys.count(), capacity)
+    total = keys.count()
+    levels = grow(keys.select("key"), total, max(capacity, -(-total // BUCKETS)))
     crowded = common.staged(keys.where((F.col("n") > rows) | ((F.col("n") > 1) & (F.col("n") * F.col("width") > size))).select("key", F.lit(True).alias("crowded")), "crowded-keys")
     each = keyed.join(common.sized(crowded), "key", "left")
     own = Window.partitionBy("bucket", "key", "norm")
