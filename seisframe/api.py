@@ -47,7 +47,7 @@ def fromfile(spark: SparkSession, path: str, iline: int = 189, xline: int = 193,
 
 
 def fromfile_by_guess(spark: SparkSession, path: str) -> np.ndarray:
-    il, xl, istep, xstep, *_ = guess(path, spark)[0]
+    il, xl, istep, xstep, *_ = guess(path, spark, most=1)[0]
     return fromfile(spark, path, il, xl, istep, xstep)
 
 
@@ -134,7 +134,7 @@ def tofile(spark: SparkSession, path: str, out: str, iline: int = 189, xline: in
 
 
 def tofile_by_guess(spark: SparkSession, path: str, out: str) -> None:
-    il, xl, istep, xstep, *_ = guess(path, spark)[0]
+    il, xl, istep, xstep, *_ = guess(path, spark, most=1)[0]
     tofile(spark, path, out, il, xl, istep, xstep)
 
 

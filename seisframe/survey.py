@@ -26,7 +26,7 @@ class Survey:
     def __init__(self, spark: SparkSession, path: str, iline: int | None = None, xline: int | None = None, istep: int | None = None, xstep: int | None = None, xloc: int = spec.X_COORD, yloc: int = spec.Y_COORD, offset: int = spec.OFFSET, as_2d: bool = False, ic: DataFrame | None = None, fill: float = 0.0):
         self.spark, self.path, self.info, self.as_2d, self.fill, self.ic = spark, path, files.open_info(path), as_2d, fill, ic
         if not as_2d and ic is None and (iline is None or xline is None):
-            iline, xline, istep, xstep, xloc, yloc = guess(path, spark, iline, xline, istep, xstep)[0]
+            iline, xline, istep, xstep, xloc, yloc = guess(path, spark, iline, xline, istep, xstep, most=1)[0]
         self.options = {"iline": iline or spec.ILINE, "xline": xline or spec.XLINE, "xloc": xloc, "yloc": yloc, "offset": offset}
         self.steps = (istep, xstep)
         self._scalar: float | None = None
@@ -322,8 +322,8 @@ def steps(path: str, ilines: list[int], xlines: list[int]) -> tuple[dict[int, in
     return {k: v for k, v in isteps.items() if v}, {k: v for k, v in xsteps.items() if v}
 
 
-def guess(path: str, spark: SparkSession, iline: int | None = None, xline: int | None = None, istep: int | None = None, xstep: int | None = None, xloc: int | None = None, yloc: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
-    """Plausible (iline, xline, istep, xstep, xloc, yloc), most usual locations first; what is given is not guessed.
+def guess(path: str, spark: SparkSession, iline: int | None = None, xline: int | None = None, istep: int | None = None, xstep: int | None = None, xloc: int | None = None, yloc: int | None = None, most: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
+    """Plausible (iline, xline, istep, xstep, xloc, yloc), most usual locations first; what is given is not guessed. ``most``: stop after so many.
 
     A candidate counts only if its geometry can be scanned. Coordinates are at
     181 and 185 if the first candidate's intervals there are finite and not zero, else at 73 and 77.
@@ -333,16 +333,16 @@ def guess(path: str, spark: SparkSession, iline: int | None = None, xline: int |
     isteps, xsteps = steps(path, ilines, xlines)
     isteps, xsteps = (dict.fromkeys(ilines, istep) if istep else isteps), (dict.fromkeys(xlines, xstep) if xstep else xsteps)
     out, first = [], None
-    for il, a in isteps.items():
-        for xl, b in xsteps.items():
-            keys = segy.load(spark, path, "keys", iline=il, xline=xl, xloc=181, yloc=185)
-            try:
-                geo = g.scan(keys, steps=(a, b))
-            except ValueError:  # off the grid
-                continue
-            if il != xl:
-                first = first or (keys, geo)
-                out.append((il, xl, a, b))
+    for il, xl in ((il, xl) for il in isteps for xl in xsteps if il != xl):
+        if most is not None and len(out) >= most:
+            break
+        keys = segy.load(spark, path, "keys", iline=il, xline=xl, xloc=181, yloc=185)
+        try:
+            geo = g.scan(keys, steps=(isteps[il], xsteps[xl]))
+        except ValueError:  # off the grid
+            continue
+        first = first or (keys, geo)
+        out.append((il, xl, isteps[il], xsteps[xl]))
     if first is None:
         raise ValueError("no plausible key locations")
     if xloc is None or yloc is None:
