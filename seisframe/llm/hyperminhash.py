@@ -19,6 +19,7 @@ while copies that hang together are never compared pair by pair.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -32,7 +33,7 @@ from .components import connected_components
 #: A pair at the threshold meets in no band with a chance of (1 - s**rows)**BANDS: 1e-6 at 0.85, 2e-5 at 0.8.
 BANDS, ROWS, FEWER, MANTISSA = 36, 7, 6, 26
 EMPTY = np.uint32(0xFFFFFFFF)
-#: What travels with documents that meet: every other register, with SHORT mantissa bits.
+#: What travels with documents that meet: all registers, with SHORT mantissa bits.
 SHORT = 10
 SHORT_EMPTY = np.uint16(0xFFFF)
 #: Documents that meet in one band and are estimated pair by pair; more are taken as one candidate cluster.
@@ -101,6 +102,31 @@ def sketches(sets: list[np.ndarray], rows: int = ROWS) -> np.ndarray:
     return registers
 
 
+@functools.cache
+def _lenders(size: int) -> np.ndarray:
+    """For each register, all registers in an order of its own."""
+    k = np.arange(size * size, dtype=np.uint64).reshape(size, size)
+    return np.argsort(mix(k * _A + _C), axis=1, kind="stable")
+
+
+def densified(registers: np.ndarray) -> np.ndarray:
+    """Empty registers filled from the first one in use in an order of their own, so that two sets agree in each with a chance of their similarity, however small they are.
+
+    A band of a small set would else hold an element or two, and all sets with
+    one common line would meet in it.
+    """
+    out, order = registers.copy(), _lenders(registers.shape[1])
+    row, own = np.nonzero((registers == EMPTY) & (registers != EMPTY).any(axis=1)[:, None])
+    for t in range(registers.shape[1]):
+        if not len(row):
+            break
+        value = registers[row, order[own, t]]
+        got = value != EMPTY
+        out[row[got], own[got]] = value[got]
+        row, own = row[~got], own[~got]
+    return out
+
+
 def band_keys(registers: np.ndarray) -> list[np.ndarray]:
     """For each sketch, a 64-bit key of each band that has a register."""
     rows = registers.reshape(len(registers), BANDS, -1)
@@ -112,9 +138,8 @@ def band_keys(registers: np.ndarray) -> list[np.ndarray]:
 
 
 def shortened(registers: np.ndarray) -> np.ndarray:
-    """Every other register with fewer mantissa bits: 6 + SHORT bits each."""
-    half = registers[:, ::2]
-    return np.where(half == EMPTY, SHORT_EMPTY, (half >> np.uint32(MANTISSA - SHORT)).astype(np.uint16))
+    """All registers with fewer mantissa bits: 6 + SHORT bits each."""
+    return np.where(registers == EMPTY, SHORT_EMPTY, (registers >> np.uint32(MANTISSA - SHORT)).astype(np.uint16))
 
 
 def chance_collisions(n: np.ndarray, m: np.ndarray, registers: int, mantissa: int) -> np.ndarray:
@@ -134,14 +159,22 @@ def estimate(one: np.ndarray, n: np.ndarray, other: np.ndarray, m: int, mantissa
 
 
 def likely(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
-    """(others, estimates) that neither the sizes nor the estimates refute as partners of i."""
+    """(others, estimates) that neither the sizes nor the estimates refute as partners of i.
+
+    The registers in use are as many elements of the union, drawn without
+    repeats: of a small union they are nearly all, and the estimate is nearly
+    exact. A pair at the threshold has a union of (n + m) / (1 + threshold).
+    """
     low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
     others = others[(100 * low >= percent * high) & (low > 0)]
     if not len(others):
         return others, np.empty(0)
     j, error = estimate(sketch[others], n[others], sketch[i], int(n[i]), mantissa)
     least = percent / 100
-    good = j >= least - ERRORS * np.sqrt(least * (1 - least)) * error  # the standard error of a pair at the threshold
+    union = (n[others] + n[i]) / (1 + least)
+    unseen = np.maximum(union - error**-2, 0) / np.maximum(union - 1, 1)
+    chance = chance_collisions(n[others], np.full(len(others), n[i]), sketch.shape[1], mantissa) * error**2
+    good = j + chance >= least - ERRORS * np.sqrt(least * (1 - least) * unseen) * error - 1e-9  # the standard error of a pair at the threshold
     return others[good], j[good]
 
 
@@ -222,7 +255,7 @@ def features(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
         s1, s2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
         registers = sketches(sets, rows_for(percent))
         digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-        return {"doc_id": ids, "text_sha256": digests, "n_shingles": n, "s1": s1, "s2": s2, "bands": band_keys(registers), "sketch": [r.tobytes() for r in shortened(registers)]}
+        return {"doc_id": ids, "text_sha256": digests, "n_shingles": n, "s1": s1, "s2": s2, "bands": band_keys(densified(registers)), "sketch": [r.tobytes() for r in shortened(registers)]}
 
     return common.map_blocks(docs, run, "doc_id long, text_sha256 string, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary", id_col, text_col)
 
@@ -256,60 +289,108 @@ def _link_blocks(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _meet(met: DataFrame, percent: int) -> DataFrame:
-    """Of the rows (band, id, n_shingles, sketch) of each band: edges (a, b) that span all pairs no estimate refutes."""
+    """Of the rows (first, band, id, n_shingles, sketch): edges (a, b) that span all pairs of a band that no estimate refutes.
+
+    Bands with the same first document are taken together, as they hold mostly
+    the same others, and each document has one edge, to its component's smallest id.
+    """
 
     def run(group: dict[str, list]) -> dict:
-        ids = group["id"]
-        n = np.array(group["n_shingles"])
-        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint16).reshape(len(ids), -1)
-        parent, out = list(range(len(ids))), {"a": [], "b": []}
-        rest = np.arange(len(ids))
-        for i in range(len(ids) - 1):
-            for other in likely(sketch, n, i, rest[i + 1 :], percent, SHORT)[0].tolist():
-                a, b = root_of(parent, i), root_of(parent, other)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out["a"].append(ids[i])
-                    out["b"].append(ids[other])
-        return out
+        ids, at, own = np.unique(np.array(group["id"]), return_index=True, return_inverse=True)
+        n = np.array(group["n_shingles"])[at]
+        sketch = np.frombuffer(b"".join(group["sketch"][k] for k in at), dtype=np.uint16).reshape(len(ids), -1)
+        label = np.arange(len(ids))
+        for members in np.split(own, np.flatnonzero(np.diff(np.array(group["band"])) != 0) + 1):
+            for k, i in enumerate(members.tolist()):
+                others = members[k + 1 :]
+                for other in likely(sketch, n, i, others[label[others] != label[i]], percent, SHORT)[0].tolist():
+                    a, b = sorted((label[i], label[other]))
+                    if a != b:
+                        label[label == b] = a
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return {"a": ids[moved].tolist(), "b": ids[label[moved]].tolist()}
+
+    return common.map_groups(met, ["first"], run, "a long, b long", "band")
+
+
+def _pairs_asked(group: dict[str, list], queries: np.ndarray, stock: np.ndarray, percent: int, sketch: np.ndarray) -> dict:
+    """(cluster, block, id, label): each query with the blocks that hold likely partners of another label."""
+    n, label, block = (np.array(group[k]) for k in ("n_shingles", "label", "block"))
+    out: dict[str, list] = {"cluster": [], "block": [], "id": [], "label": []}
+    for q in queries.tolist():
+        for b in np.unique(block[likely(sketch, n, q, stock[label[stock] != label[q]], percent, SHORT)[0]]).tolist():
+            for name, value in zip(out, (group["cluster"][q], b, group["id"][q], group["label"][q]), strict=True):
+                out[name].append(value)
+    return out
+
+
+def _sketched(group: dict[str, list]) -> np.ndarray:
+    return np.frombuffer(b"".join(group["sketch"]), dtype=np.uint16).reshape(len(group["id"]), -1)
+
 
-    return common.map_groups(met, ["band"], run, "a long, b long")
+ASKED = "cluster long, block int, id long, label long"
 
 
-def _asked(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(cluster, block, id, label): documents outside their cluster's main component, with the blocks where sketches leave a partner of another component."""
-    known = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    counts = known.groupBy("cluster", "label").count()
-    main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most"))
-    main = main.withColumn("parts", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")).where("parts > 0").select("cluster", "main", "parts")
-    rows = known.join(common.sized(common.staged(main, "main-components")), "cluster").join(sketches, "id")
-    part = F.pmod(F.xxhash64("id", F.lit(3)), "parts").cast("int")
-    queries = rows.where("label <> main").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    stock = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    names = ["cluster", "block", "part", "id", "label", "n_shingles", "sketch"]
+def _asked(known: DataFrame, meetings: DataFrame, stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(cluster, block, id, label): documents with the blocks where sketches leave a partner of another component.
+
+    ``known`` is (id, cluster, block, label). Only documents that meet are
+    compared: in each band those of different components. Of bands in which
+    more than MEETING meet, the documents that hang together form crowds, and
+    those outside a crowd's main component are compared with all of it.
+    """
+    rows = meetings.where(F.col("n") <= MEETING).select("band", "id").join(known, "id")
+    apart = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    met = rows.join(apart, "band").join(sketches, "id").select("band", "id", "cluster", "block", "label", "n_shingles", "sketch")
+
+    def in_band(group: dict[str, list]) -> dict:
+        label = np.array(group["label"])
+        values, own, counts = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((-values, counts))  # labels of many documents last
+        rank = np.empty(len(values), dtype=np.int64)
+        rank[order] = np.arange(len(values))
+        place = rank[own]
+        sketch = _sketched(group)
+        out: dict[str, list] = {"cluster": [], "block": [], "id": [], "label": []}
+        for r in range(len(values) - 1):  # each pair once: the rarer label asks
+            made = _pairs_asked(group, np.flatnonzero(place == r), np.flatnonzero(place > r), percent, sketch)
+            for name in out:
+                out[name] += made[name]
+        return out
+
+    asked = common.map_groups(met, ["band"], in_band, ASKED)
+    if stars.isEmpty():
+        return asked.distinct()
+    crowds = known.join(connected_components(stars, "crowds").withColumnRenamed("component", "crowd"), "id")
+    counts = crowds.groupBy("crowd", "label").count()
+    main = counts.groupBy("crowd").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most"))
+    main = main.withColumn("parts", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")).where("parts > 0").withColumn("shares", F.ceil(F.col("size") / BLOCK).cast("int")).select("crowd", "main", "parts", "shares")
+    rows = crowds.join(common.sized(common.staged(main, "main-components")), "crowd").join(sketches, "id")
+    part, share = F.pmod(F.xxhash64("id", F.lit(3)), "parts").cast("int"), F.pmod(F.xxhash64("id", F.lit(4)), "shares").cast("int")
+    queries = rows.where("label <> main").withColumn("part", part).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    stock = rows.withColumn("share", share).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = ["crowd", "share", "part", "id", "cluster", "block", "label", "n_shingles", "sketch"]
     dealt = queries.select(*names, F.lit(True).alias("query")).union(stock.select(*names, F.lit(False)))
 
-    def run(group: dict[str, list]) -> dict:
-        n, label, query = (np.array(group[k]) for k in ("n_shingles", "label", "query"))
-        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint16).reshape(len(n), -1)
-        stock = np.flatnonzero(~query)
-        hit = [int(q) for q in np.flatnonzero(query) if len(likely(sketch, n, int(q), stock[label[stock] != label[q]], percent, SHORT)[0])]
-        return {k: [group[k][q] for q in hit] for k in ("cluster", "block", "id", "label")}
+    def in_crowd(group: dict[str, list]) -> dict:
+        query = np.array(group["query"])
+        return _pairs_asked(group, np.flatnonzero(query), np.flatnonzero(~query), percent, _sketched(group))
 
-    return map_groups_of(dealt, run, "cluster long, block int, id long, label long")
+    return asked.union(common.map_groups(dealt, ["crowd", "share", "part"], in_crowd, ASKED)).distinct()
 
 
 def map_groups_of(dealt: DataFrame, run, schema: str) -> DataFrame:
     return common.map_groups(dealt, ["cluster", "block", "part"], run, schema)
 
 
-def _outside(members: DataFrame, labels: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of documents outside their cluster's main component with other components.
+def _outside(members: DataFrame, labels: DataFrame, meetings: DataFrame, stars: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components that the blocks have left.
 
     Sketches choose the blocks that a document is compared with; only then are
     texts dealt, those of the chosen documents and blocks.
     """
-    asked = common.staged(_asked(members.drop("text"), labels, sketches, percent), "asked")
+    known = members.drop("text").join(labels, "id", "left").select("id", "cluster", "block", F.coalesce("component", "id").alias("label"))
+    asked = common.staged(_asked(common.staged(known, "known"), meetings, stars, sketches, percent), "asked")
     parts = asked.groupBy("cluster", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
     queries = asked.join(members.select("id", "text"), "id").join(parts, ["cluster", "block"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), "parts").cast("int"))
@@ -344,7 +425,7 @@ def _marked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     met = common.staged(met.groupBy("n", "first", "last", "who").agg(F.min("band").alias("band")).select("band", "first", "n"), "bands")
     rows = common.staged(banded.join(met, "band").select("band", "id", "first", "n"), "meetings")
     stars = rows.where((F.col("n") > MEETING) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b"))
-    small = rows.where(F.col("n") <= MEETING).select("band", "id").join(found.select("id", "n_shingles", "sketch"), "id").select("band", "id", "n_shingles", "sketch")
+    small = rows.where(F.col("n") <= MEETING).select("first", "band", "id").join(found.select("id", "n_shingles", "sketch"), "id").select("first", "band", "id", "n_shingles", "sketch")
     candidates = common.staged(_meet(small, percent).union(stars).distinct(), "candidates")
     members = connected_components(candidates, "clusters").withColumnRenamed("component", "cluster")
     sizes = common.staged(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
@@ -368,7 +449,7 @@ def _marked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
             links = links.union(level.where("id <> root").select("id", "root"))
             seed += 1
         so_far = connected_components(links, "so-far")
-        links = links.union(common.staged(_outside(several, so_far, found.select("id", "n_shingles", "sketch"), size, percent), "outside"))
+        links = links.union(common.staged(_outside(several, so_far, rows, stars, found.select("id", "n_shingles", "sketch"), size, percent), "outside"))
     labels = connected_components(links, "near-duplicates")
     least = labels.join(firsts.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = labels.join(least, "component").select("id", "component_id")

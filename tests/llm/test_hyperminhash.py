@@ -114,3 +114,42 @@ def test_boilerplate_without_a_main_component(spark, monkeypatch):
         monkeypatch.setattr(hyperminhash, "MEETING", meeting)
         got = hyperminhash.components(spark.createDataFrame(rows, "doc_id long, text string"), block=16)
         assert {tuple(r) for r in got.collect()} == brute(rows, 3, 85)
+
+
+def test_short_texts_with_a_common_line_do_not_meet(spark):
+    """One line in many short, different texts brings few of them together; short near copies still meet."""
+    line = " ".join(f"common{j}" for j in range(16))
+    rows = [(k, f"{line} " + " ".join(f"own{k}n{j}" for j in range(12))) for k in range(2000)]
+    rows += [(3000 + k, f"{rows[k][1]} end") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = [b for r in hyperminhash.features(frame, 3, 85, "doc_id", "text").select("bands").collect() for b in r.bands]
+    assert np.unique(bands, return_counts=True)[1].max() < 500
+    got = {r.doc_id: r.component_id for r in hyperminhash.components(frame).collect()}
+    assert got == {i: i - 3000 if i >= 3000 else i for i, _ in rows}
+
+
+def test_small_sets_are_told_apart_by_estimates():
+    """Of a union that the registers nearly exhaust, the estimate is nearly exact; a pair at the threshold stays."""
+    for n in (7, 20, 40, 100, 300):
+        pool = np.sort(hyperminhash.mix(np.arange(1, 2 * n, dtype=np.uint64) * hyperminhash._A))
+        pick = np.random.default_rng(n).permutation(pool)
+        alike = -(-85 * n // 100)
+        near, far = [np.sort(pick[:n]), np.sort(pick[:alike])], [np.sort(pick[:n]), np.sort(pick[n // 2 : n // 2 + n])]
+        for sets, want in ((near, 1), (far, 0)):
+            registers = hyperminhash.sketches(sets)
+            for sketch, mantissa in ((registers, hyperminhash.MANTISSA), (hyperminhash.shortened(registers), hyperminhash.SHORT)):
+                size = np.array([len(x) for x in sets])
+                assert len(hyperminhash.likely(sketch, size, 0, np.array([1]), 85, mantissa)[0]) == want
+
+
+def test_candidate_edges_do_not_grow_with_bands(spark):
+    """Near copies that meet in many bands have about one edge each."""
+    base = [f"w{j}" for j in range(300)]
+    rows = [(k, " ".join([*base[: 2 * k], f"x{k}", *base[2 * k + 1 :]])) for k in range(140)]
+    found = hyperminhash.features(spark.createDataFrame(rows, "id long, text string"), 3, 85, "id", "text").withColumnRenamed("doc_id", "id")
+    met = [(r.id, r.n_shingles, bytes(r.sketch), b) for r in found.collect() for b in r.bands]
+    first: dict[int, int] = {}
+    for i, _, _, b in met:
+        first[b] = min(i, first.get(b, i))
+    frame = spark.createDataFrame([(first[b], b, i, n, s) for i, n, s, b in met], "first long, band long, id long, n_shingles long, sketch binary")
+    assert hyperminhash._meet(frame, 85).distinct().count() < 8 * len(rows)
