@@ -27,8 +27,10 @@ def _write(rows: DataFrame, path: str, preamble: bytes, nt: int, code: int, coun
     out.save()
 
 
-def create(volume: DataFrame, path: str, survey: hd.NewSurvey, custom: list[str] | None = None) -> None:
-    """A new file from (iline_idx, xline_idx, samples) rows, one for every cell."""
+def create(volume: DataFrame, path: str, survey: hd.NewSurvey, custom: list[str] | None = None, trace_count: int | None = None) -> None:
+    """A new file from (iline_idx, xline_idx, samples) rows, one for every cell, or for the first ``trace_count`` cells if the last inline is short."""
+    if trace_count is not None and not (survey.ni - 1) * survey.nx < trace_count <= survey.ni * survey.nx:
+        raise ValueError("only the last inline may be short")
     s = survey
     step = max(s.scalar, 1) if s.scalar > 0 else 1
     lines = hd.textual_lines(
@@ -42,7 +44,7 @@ def create(volume: DataFrame, path: str, survey: hd.NewSurvey, custom: list[str]
             yield pa.RecordBatch.from_arrays([pa.array(i * s.nx + x), pa.array(heads, type=pa.binary()), b.column(2)], names=["trace_idx", "raw_header", "samples"])
 
     rows = volume.select("iline_idx", "xline_idx", F.col("samples").cast("array<float>").alias("samples")).mapInArrow(run, "trace_idx bigint, raw_header binary, samples array<float>")
-    _write(rows, path, codec.encode_text(lines) + hd.binary_header(s), s.nt, s.format, s.ni * s.nx)
+    _write(rows, path, codec.encode_text(lines) + hd.binary_header(s), s.nt, s.format, trace_count or s.ni * s.nx)
 
 
 def renumbered(rows: DataFrame, chunk: int = 100_000) -> DataFrame:
