@@ -70,17 +70,19 @@ def collect(spark: SparkSession, path: str, beg: int = -1, end: int = 0, tbeg: i
     return np.stack(rows.orderBy("trace_idx").toPandas()["samples"].to_list())
 
 
-def set_size(path: str, nt: int, nx: int, ni: int) -> g.Geometry:
-    """The geometry of a file that is taken as ni x nx traces in file order, whatever its headers say."""
+def set_size(path: str, nt: int, nx: int, ni: int, short: bool = False) -> g.Geometry:
+    """The geometry of a file that is taken as ni x nx traces in file order, whatever its headers say; the last of the ni may be ``short``."""
     info = files.open_info(path)
-    if (nt, nx * ni) != (info.nt, info.trace_count):
+    fits = (ni - 1) * nx < info.trace_count <= ni * nx if short else nx * ni == info.trace_count
+    if nt != info.nt or not fits:
         raise ValueError(f"{ni} x {nx} traces of {nt} samples aren't the file's {info.trace_count} of {info.nt}")
-    return g.Geometry((g.Axis(0, ni - 1, 1), g.Axis(0, nx - 1, 1)), ni * nx, True, True)
+    whole = nx * ni == info.trace_count
+    return g.Geometry((g.Axis(0, ni - 1, 1), g.Axis(0, nx - 1, 1)), info.trace_count, whole, whole)
 
 
-def volume_ignore_header(spark: SparkSession, path: str, ni: int, nx: int, nt: int) -> DataFrame:
-    """(iline_idx, xline_idx, samples) with cells numbered by the traces' places in the file."""
-    set_size(path, nt, nx, ni)
+def volume_ignore_header(spark: SparkSession, path: str, ni: int, nx: int, nt: int, short: bool = False) -> DataFrame:
+    """(iline_idx, xline_idx, samples) with cells numbered by the traces' places in the file; the last row of cells may be ``short``."""
+    set_size(path, nt, nx, ni, short)
     at = F.col("trace_idx")
     return segy.load(spark, path).select(F.floor(at / nx).cast("int").alias("iline_idx"), (at % nx).cast("int").alias("xline_idx"), "samples")
 
