@@ -149,3 +149,13 @@ def region_outline_xy(index: DataFrame, keys: DataFrame) -> DataFrame:
     ends = there.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("line_num").alias("by"), F.col("trace_start").alias("trace_idx")), F.struct(F.lit(1).alias("side"), (-F.col("line_num")).alias("by"), F.col("trace_end").alias("trace_idx")))).alias("o")).select("o.*")
     at = ends.join(keys.select("trace_idx", F.col("x_coord").alias("x"), F.col("y_coord").alias("y")), "trace_idx")
     return at.withColumn("seq", (F.row_number().over(Window.orderBy("side", "by")) - 1).cast("int")).select("seq", "x", "y")  # two rows a line
+
+
+def edges_xy(keys: DataFrame, geometry: Geometry) -> DataFrame:
+    """(seq, x, y): map coordinates of the first crossline's traces going up, then of the last crossline's coming down; inlines that don't reach it are left out. Of traces in one cell the last counts."""
+    from pyspark.sql import Window
+
+    axis = geometry.axes[1]
+    last = keys.where(F.col("xline").isin(axis.low, axis.high)).groupBy("iline", "xline").agg(F.max_by(F.struct("x_coord", "y_coord"), "trace_idx").alias("at"))
+    sides = [last.where(F.col("xline") == line).select(F.lit(side).alias("side"), by.alias("by"), F.col("at.x_coord").alias("x"), F.col("at.y_coord").alias("y")) for side, line, by in ((0, axis.low, F.col("iline")), (1, axis.high, -F.col("iline")))]
+    return sides[0].union(sides[1]).withColumn("seq", (F.row_number().over(Window.orderBy("side", "by")) - 1).cast("int")).select("seq", "x", "y")  # two rows a line

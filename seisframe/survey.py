@@ -244,9 +244,11 @@ class Survey:
         return rows.withColumn("time", F.lit(float(self.time_start)) + F.col("k") * self.dt / 1000)
 
     def outline(self, mode: str = "line") -> DataFrame:
-        """The region's outline: (seq, line_num, xline), or (seq, x, y) on the map."""
-        if mode not in ("line", "xy"):
-            raise ValueError("the mode is 'line' or 'xy'")
+        """The region's outline: (seq, line_num, xline), or (seq, x, y) on the map: of line ends, or for 'edges' of the traces on the first and last crossline."""
+        if mode not in ("line", "xy", "edges"):
+            raise ValueError("the mode is 'line', 'xy' or 'edges'")
+        if mode == "edges":
+            return spatial.edges_xy(self.keys, self.geometry)
         return spatial.region_outline(self.line_index) if mode == "line" else spatial.region_outline_xy(self.line_index, self.keys)
 
     def key_series(self, columns: tuple[str, ...] = ("iline", "xline"), beg: int = -1, end: int = 0) -> DataFrame:
