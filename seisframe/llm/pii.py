@@ -6,8 +6,8 @@ signs, other separators, no country code, any grouping. Candidates are
 described by format and context, never by a validity test or by the generator
 that found them, and trees boosted on log loss score them.
 
-No table has span labels. Positives are base spans of a bounded sample of
-documents, described as they would look in damaged form (``damaged``: signs
+No table has span labels. Positives are the base spans of all documents,
+described as they would look in damaged form (``damaged``: signs
 spelled out, separators changed, prefix dropped) in their own context; what
 the generators propose elsewhere in these documents is unlabelled and counts
 as negative, so a candidate is added only if its format and context are those
@@ -16,7 +16,7 @@ from which on at least ``PRECISION`` of all candidates are positives.
 
 Everything that touches a text is a DataFrame expression, and all steps are
 linear (or n log n) in a text's spans. The driver fits the trees on a tally of
-the sample's candidates by their small, integer features.
+all candidates by their small, integer features.
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ CUES = (
     r"(host|server|addr|adress|\bip|login|ping)[^0-9]{0,12}$",
 )
 
-#: Boosting rounds, step, the precision at which a kind's threshold is set, and documents that training reads (expected number).
-ROUNDS, STEP, PRECISION, SAMPLE = 16, 0.4, 0.9, 20_000
+#: Boosting rounds, step, and the precision at which a kind's threshold is set.
+ROUNDS, STEP, PRECISION = 16, 0.4, 0.9
 FEATURES = ("digits", "letters", "signs", "groups", "opens", "cue", "edges", "length", "mark")
 #: Characters of context before a candidate, and of the parts that a redacted text is put together from.
 CONTEXT, PART = 24, 256
@@ -328,15 +328,13 @@ def calibrated(score: np.ndarray, n: np.ndarray, positive: np.ndarray, precision
     return best
 
 
-def sampled(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
-    """(__id, text_col): about ``sample`` different documents, chosen by a hash of id and text."""
-    total = max(1, docs.count())
-    own = docs.select(F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__id"))
-    return own.where(F.pmod("__id", F.lit(1 << 30)) < min(1.0, sample / total) * (1 << 30)).dropDuplicates(["__id"])
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text_col, __id) of all documents; __id is a hash of id and text, which deals them to folds."""
+    return docs.select(F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__id"))
 
 
 def train(rows: DataFrame) -> dict[str, KindModel]:
-    """Fit all kinds on the tally of candidates of ``spans``' result for a sample."""
+    """Fit all kinds on the tally of candidates of ``spans``' result."""
     fold = F.pmod("__id", F.lit(5)) == 0
 
     def one(c: Column, k: str, y: int) -> Column:
@@ -346,7 +344,7 @@ def train(rows: DataFrame) -> dict[str, KindModel]:
     marked = F.concat(*(F.transform(f"{x}_{k}", _with(one, k, y)) for k in KINDS for x, y in (("base", 1), ("more", 0))))
     # an outer explode: for an inner one Spark would infer a filter that evaluates all patterns once more
     each = rows.select(fold.alias("fold"), F.explode_outer(marked).alias("c")).where("c.kind is not null").select("fold", "c.*")
-    tally = each.groupBy("kind", "fold", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive")).collect()  # feature combinations of the sample
+    tally = each.groupBy("kind", "fold", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive")).collect()  # feature combinations, bounded by the ranges of the features
     models = {}
     for k in KINDS:
         own = sorted((r for r in tally if r["kind"] == k), key=lambda r: tuple(r))
@@ -362,7 +360,7 @@ def train(rows: DataFrame) -> dict[str, KindModel]:
 
 
 def fitted(docs: DataFrame, id_col: str, text_col: str) -> dict[str, KindModel]:
-    return train(spans(sampled(docs, id_col, text_col), text_col))
+    return train(spans(numbered(docs, id_col, text_col), text_col))
 
 
 def found(rows: DataFrame, models: dict[str, KindModel]) -> DataFrame:

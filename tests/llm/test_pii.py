@@ -169,3 +169,12 @@ def test_redaction_and_empty_table(spark, nothing, docs):
     assert got[1].text is None and tuple(got[2]) == (3, "plain", 5)
     assert pii.detect(nothing).collect() == [] and pii.redact(nothing).collect() == []
     assert pii.redact(docs).columns == docs.columns
+
+
+def test_models_are_fitted_on_every_document(spark, monkeypatch):
+    """No sample: training reads all rows, however many."""
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda rows: seen.append(rows.select("__id").distinct().count()))
+    frame = spark.range(30_000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    pii.fitted(frame, "doc_id", "text")
+    assert seen == [30_000]
