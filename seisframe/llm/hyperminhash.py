@@ -11,10 +11,11 @@ connected or refuted.
 Only one document of each distinct set takes part, under a number of its own, so
 null and repeated ids link nothing. A cluster of more than
 ``BLOCK`` documents is dealt over tasks in blocks: links inside blocks first,
-then links between central members of blocks, and then each document outside
-the cluster's main component against all blocks. A link between two documents
-of different components has an end outside the main one, so none is lost,
-while copies that hang together are never compared pair by pair.
+then links between central members of blocks, and then documents that meet in
+a band and are of different components by then, each against the blocks that
+hold such partners. Of bands with too many documents, each one outside the main
+component is compared with all, so no link is lost, while copies that hang
+together are never compared pair by pair.
 """
 
 from __future__ import annotations
